@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0072
@@ -25,27 +25,51 @@ def edge_km(resolution: int) -> float:
     return math.sqrt(CELL_AREA_KM2[resolution] * 2.0 / (3.0 * math.sqrt(3.0)))
 
 
-def hex_key(lat: Column, lon: Column, resolution: int = 8) -> Column:
-    """Packed cell number of a coordinate, null when either part is missing or off the globe."""
+def on_globe(lat: str = "lat", lon: str = "lon") -> Column:
+    """True for usable coordinates; plain comparisons that a scan can apply."""
+    return F.col(lat).between(-90.0, 90.0) & F.col(lon).between(-180.0, 180.0)
+
+
+def with_hex_key(
+    df: DataFrame, resolution: int = 8, out: str = "area_key", lat: str = "lat", lon: str = "lon"
+) -> DataFrame:
+    """Add the packed cell number of each row, null when the coordinates are not usable.
+
+    The steps are separate projections on purpose: every intermediate value is used several
+    times, and one nested expression would repeat the trigonometry in each use.
+    """
     size = edge_km(resolution)
-    x = F.lit(EARTH_KM) * F.radians(lon)
-    y = F.lit(EARTH_KM) * F.sin(F.radians(lat))
-    q = (F.lit(math.sqrt(3.0) / 3.0) * x - y / F.lit(3.0)) / F.lit(size)
-    r = (F.lit(2.0 / 3.0) * y) / F.lit(size)
-    s = -q - r
-    # Round all three cube axes, then repair the one that moved the most.
-    rq, rr, rs = F.floor(q + 0.5), F.floor(r + 0.5), F.floor(s + 0.5)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    col = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
-    row = F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr)
-    valid = lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
-    return F.when(valid, (col + F.lit(_HALF)) * F.lit(_SPAN) + row + F.lit(_HALF))
+    x, y, q, r, s, rq, rr, rs = (F.col(f"_hex_{n}") for n in ("x", "y", "q", "r", "s", "rq", "rr", "rs"))
+    steps = (
+        {
+            "_hex_x": F.lit(EARTH_KM) * F.radians(lon),
+            "_hex_y": F.lit(EARTH_KM) * F.sin(F.radians(lat)),
+        },
+        {
+            "_hex_q": (F.lit(math.sqrt(3.0) / 3.0) * x - y / F.lit(3.0)) / F.lit(size),
+            "_hex_r": (F.lit(2.0 / 3.0) * y) / F.lit(size),
+        },
+        {"_hex_s": -q - r},
+        {"_hex_rq": F.floor(q + 0.5), "_hex_rr": F.floor(r + 0.5), "_hex_rs": F.floor(s + 0.5)},
+        {"_hex_dq": F.abs(rq - q), "_hex_dr": F.abs(rr - r), "_hex_ds": F.abs(rs - s)},
+    )
+    for step in steps:
+        df = df.withColumns(step)
+    # Of the three rounded axes, the one that moved the most follows from the other two.
+    dq, dr, ds = F.col("_hex_dq"), F.col("_hex_dr"), F.col("_hex_ds")
+    off_q = (dq > dr) & (dq > ds)
+    column = F.when(off_q, -rr - rs).otherwise(rq)
+    row = F.when(~off_q & (dr > ds), -rq - rs).otherwise(rr)
+    packed = (column + F.lit(_HALF)) * F.lit(_SPAN) + row + F.lit(_HALF)
+    return df.withColumn(out, F.when(on_globe(lat, lon), packed)).drop(
+        *[f"_hex_{n}" for n in ("x", "y", "q", "r", "s", "rq", "rr", "rs", "dq", "dr", "ds")]
+    )
 
 
 def _axes(key: Column) -> tuple[Column, Column]:
     return (
-        F.floor(key / F.lit(_SPAN)).cast("bigint") - F.lit(_HALF),
-        (key % F.lit(_SPAN)) - F.lit(_HALF),
+        F.shiftright(key, 25) - F.lit(_HALF),
+        key.bitwiseAND(F.lit(_SPAN - 1)) - F.lit(_HALF),
     )
 
 
@@ -54,11 +78,6 @@ def key_to_id(key: Column, resolution: int = 8) -> Column:
     return F.concat(F.lit(f"hx{resolution}_"), q.cast("string"), F.lit("_"), r.cast("string"))
 
 
-def hex_cell(lat: Column, lon: Column, resolution: int = 8) -> Column:
-    """Cell id such as ``hx8_15342_-1201``."""
-    return key_to_id(hex_key(lat, lon, resolution), resolution)
-
-
 def cell_center(cell_id: Column) -> tuple[Column, Column]:
     """Latitude and longitude of the middle of a cell; null for text that is no cell id."""
     q = F.regexp_extract(cell_id, r"^hx\d+_(-?\d+)_(-?\d+)$", 1).try_cast("double")

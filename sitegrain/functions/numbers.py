@@ -27,6 +27,32 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.when(total <= 0, F.lit(1.0)).otherwise(total)
 
 
+_LOW_BITS = 20
+
+
+def steady_sum(value: Column, digits: int) -> Column:
+    """Aggregate: sum of values taken to ``digits`` decimals, as a double.
+
+    Sums of doubles depend on the order in which tasks deliver them, so means, ranks and
+    rounded reports could differ between two runs. Here whole multiples of 10**-digits are
+    added, in a high and a low half, which is exact in any order and cannot overflow.
+    """
+    whole = F.rint(value * F.lit(10.0**digits)).cast("bigint")
+    high = F.sum(F.shiftright(whole, _LOW_BITS)).cast("double")
+    low = F.sum(whole.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("double")
+    return high * F.lit(float(1 << _LOW_BITS)) + low
+
+
+def steady_mean(value: Column, digits: int) -> Column:
+    """Aggregate: mean of the non-null values by ``steady_sum``; null for none."""
+    return steady_sum(value, digits) / F.nullif(F.count(value) * F.lit(10.0**digits), F.lit(0.0))
+
+
+# Decimals kept when positions (a centimetre) and quality scores are averaged.
+POSITION_DIGITS = 7
+QUALITY_DIGITS = 6
+
+
 def share_of(part: Column, whole: Column) -> Column:
     """part / (whole + 1), limited to [0, 1]."""
     return clamp01(part / (whole + F.lit(1.0)))

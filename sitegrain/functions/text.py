@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -18,11 +19,14 @@ def mentions_any(text: Column, words: Iterable[str]) -> Column:
     keys = clean_keywords(words)
     if not keys:
         return F.lit(False)
-    lowered = F.lower(text)
-    hit = lowered.contains(keys[0])
-    for key in keys[1:]:
-        hit = hit | lowered.contains(key)
-    return F.coalesce(hit, F.lit(False))
+    # One alternation of quoted keywords instead of a chain of tests.
+    return F.coalesce(F.lower(text).rlike("|".join(re.escape(k) for k in keys)), F.lit(False))
+
+
+def sql_strings(values: Iterable[str]) -> str:
+    """Texts as a comma list of SQL literals."""
+    quoted = (v.replace("\\", "\\\\").replace("'", "\\'") for v in values)
+    return ", ".join(f"'{v}'" for v in quoted)
 
 
 def category_text(name: str = "category_name", label: str = "category_label") -> Column:

@@ -8,13 +8,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.functions.hexgrid import cell_center, edge_km, hex_key, key_to_id
+from sitegrain.functions.hexgrid import cell_center, edge_km, key_to_id, on_globe, with_hex_key
+from sitegrain.functions.numbers import POSITION_DIGITS, steady_mean
 from sitegrain.operators.roles import explode_ids
 
 
 @dataclass(frozen=True)
 class AreaUnit:
-    """What an area is. ``key`` is what data is grouped by, ``label`` the id shown for it."""
+    """What an area is. The key is what data is grouped by, the label the id shown for it."""
 
     kind: str = "hex"
     resolution: int = 8
@@ -26,12 +27,12 @@ class AreaUnit:
         if self.kind == "hex":
             edge_km(self.resolution)
 
-    def key(self, df: DataFrame) -> Column:
+    def with_key(self, df: DataFrame, out: str = "area_key") -> DataFrame:
         if self.kind == "hex":
-            return hex_key(F.col("lat"), F.col("lon"), self.resolution)
+            return with_hex_key(df, self.resolution, out)
         if self.column not in df.columns:
             raise ValueError(f"locality areas need the column {self.column!r}")
-        return F.col(self.column).cast("string")
+        return df.withColumn(out, F.col(self.column).cast("string"))
 
     def label(self, key: Column) -> Column:
         return key_to_id(key, self.resolution) if self.kind == "hex" else key
@@ -42,13 +43,13 @@ HEX8 = AreaUnit()
 
 def with_area_key(df: DataFrame, unit: AreaUnit = HEX8) -> DataFrame:
     """``area_key`` per row. Rows without usable coordinates are in no cell and drop out."""
-    keyed = df.withColumn("area_key", unit.key(df))
-    return keyed.filter(F.col("area_key").isNotNull()) if unit.kind == "hex" else keyed
+    return unit.with_key(df.filter(on_globe()) if unit.kind == "hex" else df)
 
 
 def with_area(df: DataFrame, unit: AreaUnit = HEX8) -> DataFrame:
     """``area_id`` per row, null where the coordinates give no cell."""
-    return df.withColumn("area_id", unit.label(unit.key(df)))
+    keyed = unit.with_key(df, "_area_key")
+    return keyed.withColumn("area_id", unit.label(F.col("_area_key"))).drop("_area_key")
 
 
 def with_centers(df: DataFrame) -> DataFrame:
@@ -61,6 +62,11 @@ def with_centers(df: DataFrame) -> DataFrame:
     return df.withColumns({"lat": lat, "lon": lon})
 
 
+def mean_position() -> list[Column]:
+    """Aggregates for the mean place position of an area."""
+    return [steady_mean(F.col(c), POSITION_DIGITS).alias(f"{c}_mean") for c in ("lat", "lon")]
+
+
 class CellCounts(NamedTuple):
     areas: DataFrame
     area_category_counts: DataFrame
@@ -77,7 +83,7 @@ def cell_counts(places: DataFrame, unit: AreaUnit = HEX8) -> CellCounts:
     label = unit.label(F.col("area_key")).alias("area_id")
     areas = (
         keyed.groupBy("area_key")
-        .agg(F.count(F.lit(1)).alias("poi_count"), F.avg("lat").alias("lat_mean"), F.avg("lon").alias("lon_mean"))
+        .agg(F.count(F.lit(1)).alias("poi_count"), *mean_position())
         .select(label, "poi_count", "lat_mean", "lon_mean")
     )
     exploded = explode_ids(keyed.select("area_key", "place_id", "name", "lat", "lon", "category_ids"))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.config import Taxonomy
-from sitegrain.operators.areas import HEX8, AreaUnit, with_area_key
+from sitegrain.functions.numbers import QUALITY_DIGITS, steady_mean
+from sitegrain.operators.areas import HEX8, AreaUnit, mean_position, with_area_key
 from sitegrain.operators.quality import quality_score
 from sitegrain.operators.roles import FLAGS, INLINE_IDS, with_roles
 from sitegrain.operators.spatial import locate
@@ -57,9 +58,8 @@ def area_aggregate(
         F.count(F.lit(1)).alias("total_poi_count"),
         *sums,
         F.sum("unique_category_count").alias("unique_category_count"),
-        F.avg("_quality").alias("mean_data_quality_score"),
-        F.avg("lat").alias("lat_mean"),
-        F.avg("lon").alias("lon_mean"),
+        steady_mean(F.col("_quality"), QUALITY_DIGITS).alias("mean_data_quality_score"),
+        *mean_position(),
     )
     unfolded = F.array(
         *[

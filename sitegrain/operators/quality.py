@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.config import QualityPenalties
-from sitegrain.functions.numbers import clamp01
+from sitegrain.functions.numbers import QUALITY_DIGITS, clamp01, steady_mean
 
 
 def quality_score(
@@ -44,4 +44,6 @@ def area_quality(rows: DataFrame, area_col: str = "area_id") -> DataFrame:
     """Mean score per area over the rows given (exploded rows weigh a place by its categories)."""
     if "data_quality_score" not in rows.columns:
         rows = poi_quality(rows)
-    return rows.groupBy(area_col).agg(F.avg("data_quality_score").alias("data_quality_score"))
+    return rows.groupBy(area_col).agg(
+        steady_mean(F.col("data_quality_score"), QUALITY_DIGITS).alias("data_quality_score")
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.config import COMPLEMENT_GROUPS, GYM_BROAD, GYM_STRICT, Taxonomy
-from sitegrain.functions.text import category_text, clean_keywords, mentions_any
+from sitegrain.functions.text import category_text, clean_keywords, mentions_any, sql_strings
 
 FLAGS = ("is_competitor", "is_complementary", "is_excluded", "is_commercial_other")
 INLINE_IDS = 20_000
@@ -83,17 +83,17 @@ class IdSets:
             return None
         return cls({n: tuple(sorted({r["category_id"] for r in rows if r[n]})) for n in names})
 
-    def any_of(self, name: str, ids: Column) -> Column:
-        members = self.sets[name]
-        if not members:
+    def any_of(self, name: str, ids: str = "category_ids") -> Column:
+        """True where the id list holds a member. The literals become one hash set."""
+        if not self.sets[name]:
             return F.lit(False)
-        return F.coalesce(F.exists(ids, lambda x: x.isin(*members)), F.lit(False))
+        return F.expr(f"coalesce(exists({ids}, x -> x in ({sql_strings(self.sets[name])})), false)")
 
-    def count_of(self, name: str, ids: Column) -> Column:
-        members = self.sets[name]
-        if not members:
+    def count_of(self, name: str, ids: str = "category_ids") -> Column:
+        """How many entries of the id list are members."""
+        if not self.sets[name]:
             return F.lit(0)
-        return F.coalesce(F.size(F.filter(ids, lambda x: x.isin(*members))), F.lit(0))
+        return F.expr(f"coalesce(size(filter({ids}, x -> x in ({sql_strings(self.sets[name])}))), 0)")
 
 
 def _wide_flags(categories: DataFrame, taxonomies: Mapping[str, Taxonomy]) -> tuple[DataFrame, list[str]]:
@@ -121,16 +121,15 @@ def with_roles(
     sets = IdSets.from_matches(wide, names, inline_limit)
     if sets is None:
         return _with_roles_joined(places, wide, taxonomies)
-    ids = F.col("category_ids")
     roles = F.array(
         *[
-            F.struct(
-                F.lit(key).alias("template"), *[sets.any_of(f"{key}.{flag}", ids).alias(flag) for flag in FLAGS]
-            )
+            F.struct(F.lit(key).alias("template"), *[sets.any_of(f"{key}.{flag}").alias(flag) for flag in FLAGS])
             for key in taxonomies
         ]
     )
-    return places.withColumns({"roles": roles, "unique_category_count": distinct_ids(ids).cast("bigint")})
+    return places.withColumns(
+        {"roles": roles, "unique_category_count": distinct_ids(F.col("category_ids")).cast("bigint")}
+    )
 
 
 def _with_roles_joined(places: DataFrame, wide: DataFrame, taxonomies: Mapping[str, Taxonomy]) -> DataFrame:

@@ -54,7 +54,7 @@ def locate(
     # At most MAX_LEVEL + 1 integers.
     levels = filed.agg(F.collect_set("grid_level").alias("levels")).scalar()
     p = points.select(
-        F.col(id_col),
+        F.col(id_col).alias("_id"),
         F.col(lon).alias("_x"),
         F.col(lat).alias("_y"),
         F.explode_outer(levels).alias("_level"),
@@ -65,8 +65,8 @@ def locate(
     in_box = x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))
     tried = p.join(filed, same_cell & in_box & covers(F.col("edges"), x, y), "left")
     hit = F.when(F.col("region_order").isNotNull(), F.struct("region_order", "code", "name"))
-    return tried.groupBy(id_col).agg(F.min(hit).alias("_hit")).select(
-        id_col, F.col("_hit.code").alias(code), F.col("_hit.name").alias(name)
+    return tried.groupBy("_id").agg(F.min(hit).alias("_hit")).select(
+        F.col("_id").alias(id_col), F.col("_hit.code").alias(code), F.col("_hit.name").alias(name)
     )
 
 

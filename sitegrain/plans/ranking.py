@@ -17,9 +17,9 @@ from sitegrain.config import (
     custom_taxonomy,
     strategy_weights,
 )
-from sitegrain.functions.numbers import clamp01
+from sitegrain.functions.numbers import QUALITY_DIGITS, clamp01, steady_sum
 from sitegrain.functions.text import category_text, mentions_any
-from sitegrain.operators.areas import HEX8, AreaUnit, cell_counts, sum_categories, with_area_key
+from sitegrain.operators.areas import HEX8, AreaUnit, cell_counts, mean_position, sum_categories, with_area_key
 from sitegrain.operators.features import Layers, area_features
 from sitegrain.operators.quality import area_quality, quality_score
 from sitegrain.operators.ranking import by_score, full_rank
@@ -107,8 +107,8 @@ def cell_profile(
         "area_key",
         "lat",
         "lon",
-        sets.count_of("competitor", F.col("category_ids")).alias("_competitor"),
-        sets.count_of("complement", F.col("category_ids")).alias("_complement"),
+        sets.count_of("competitor").alias("_competitor"),
+        sets.count_of("complement").alias("_complement"),
         rows.alias("_rows"),
         (base * known + unknown_base * (rows - known)).alias("_quality"),
     )
@@ -116,11 +116,12 @@ def cell_profile(
         keyed.groupBy("area_key")
         .agg(
             F.count(F.lit(1)).alias("poi_count"),
-            F.avg("lat").alias("lat_mean"),
-            F.avg("lon").alias("lon_mean"),
+            *mean_position(),
             F.sum("_competitor").cast("bigint").alias("competitor_count"),
             F.sum("_complement").cast("bigint").alias("complement_count"),
-            (F.sum("_quality") / F.sum("_rows")).alias("data_quality_score"),
+            (
+                steady_sum(F.col("_quality"), QUALITY_DIGITS) / (F.sum("_rows") * F.lit(10.0**QUALITY_DIGITS))
+            ).alias("data_quality_score"),
         )
         .select(unit.label(F.col("area_key")).alias("area_id"), "*")
         .drop("area_key")

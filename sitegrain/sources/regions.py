@@ -42,10 +42,11 @@ def read_regions_geojson(
 
 
 def indexed_regions(regions: DataFrame) -> DataFrame:
-    """Regions with their edge list and bounding box, ready for the spatial operators."""
-    edges = regions.filter(F.col("rings").isNotNull() & (F.size("rings") > 0)).withColumn(
-        "edges", all_edges(F.col("rings"))
-    )
+    """Regions with their edge list and bounding box, ready for the spatial operators.
+
+    A region without a shape gets a null box, which no spatial operator matches.
+    """
+    edges = regions.withColumn("edges", all_edges(F.col("rings")))
     xs = F.transform("edges", lambda e: e["x1"])
     ys = F.transform("edges", lambda e: e["y1"])
     return edges.select(
