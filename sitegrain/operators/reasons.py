@@ -347,4 +347,4 @@ def with_checklist(df: DataFrame, by: str = "template", lists: Mapping = CHECKLI
     for key, checklist in lists.items():
         if key != "default":
             chosen = F.when(F.col(by) == F.lit(key), items(checklist)).otherwise(chosen)
-    return df.select("*", F.inline(chosen))
+    return df.select("*", F.inline_outer(chosen))

@@ -172,7 +172,9 @@ def place_roles(
 ) -> DataFrame:
     """(place_id, template, four flags, unique_category_count)."""
     flagged = with_roles(places, categories, taxonomies, inline_limit)
-    return flagged.select("place_id", "unique_category_count", F.inline("roles")).select(
+    # Outer: the array is never empty, and a plain inline would make the optimizer push a
+    # "not empty" filter below the projection and compute every flag twice.
+    return flagged.select("place_id", "unique_category_count", F.inline_outer("roles")).select(
         "place_id", "template", *FLAGS, "unique_category_count"
     )
 

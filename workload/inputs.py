@@ -174,6 +174,9 @@ SA2_BLOCK_COLUMNS = {
 }
 
 
+SPREAD_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
 def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{e} as `{c}`" for c, e in columns.items()])
 
@@ -185,7 +188,14 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table. One that is a single split is spread over the cores by its key;
+        a table of many files, as on a cluster, already has its splits and stays as it is."""
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        key = SPREAD_KEYS.get(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if key and rows.rdd.getNumPartitions() < min(cores, 8):
+            return rows.repartition(cores, key)
+        return rows
 
     @cached_property
     def raw_places(self) -> DataFrame:
