@@ -20,6 +20,7 @@ def spark():
         "local[4]",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
+        spark__sql__maxMetadataStringLength="20000",
         spark__ui__showConsoleProgress="false",
     )
     s.sparkContext.setLogLevel("ERROR")
