@@ -55,8 +55,7 @@ def read_points_csv(spark: SparkSession, path: str, source: str, kind: str | Non
 
 
 FEATURES = (
-    "features array<struct<geometry:struct<coordinates:string>,"
-    "properties:struct<LOCATION:string,Name:string,name:string>>>"
+    "features array<struct<geometry:struct<coordinates:string>,properties:map<string,string>>>"
 )
 
 
@@ -69,9 +68,10 @@ def points_from_features(df: DataFrame, source: str, kind: str) -> DataFrame:
         F.lit(source).alias("source"),
         F.try_element_at(pair, F.lit(2)).try_cast("double").alias("lat"),
         F.try_element_at(pair, F.lit(1)).try_cast("double").alias("lon"),
-        F.coalesce(*[F.nullif(F.col(f"f.properties.{c}"), F.lit("")) for c in ("LOCATION", "Name", "name")]).alias(
-            "name"
-        ),
+        # Properties that may hold a name, best first.
+        F.coalesce(
+            *[F.nullif(F.col("f.properties")[c], F.lit("")) for c in ("LOCATION", "Name", "name")]
+        ).alias("name"),
     )
     return rows.dropna(subset=["lat", "lon"])
 
