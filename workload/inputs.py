@@ -27,6 +27,7 @@ from sitegrain.operators.layers import (
     renter_share,
     transit_access,
 )
+from sitegrain.runtime import cut_lineage
 from sitegrain.sources.census import (
     INDICATOR,
     RENTING,
@@ -255,11 +256,12 @@ class Inputs:
 
     @cached_property
     def regions(self) -> DataFrame:
-        return indexed_regions(self.region_rings)
+        return cut_lineage(indexed_regions(self.region_rings))
 
     @cached_property
     def suburbs(self) -> DataFrame:
-        return indexed_regions(self._tiles("customer", "c_custkey", "'S' || cast(c_custkey as string)", "c_name"))
+        suburbs = self._tiles("customer", "c_custkey", "'S' || cast(c_custkey as string)", "c_name")
+        return cut_lineage(indexed_regions(suburbs))
 
     @cached_property
     def seifa(self) -> DataFrame:
