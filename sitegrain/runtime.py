@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import posixpath
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,21 +26,23 @@ def session(app: str = "sitegrain", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder in the warehouse if unset."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    return given or posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_cuts")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the cluster's checkpoint folder.
+    """Compute ``df`` once and keep it in the shared folder, on any master and at any size.
 
-    Used on area-level tables that several later steps read (normalisation reads a table
-    twice), so the scan of the places behind them never runs again, also not after an
-    executor is lost. The folder comes from ``spark.checkpoint.dir``; a local session
-    without that setting gets a scratch folder, and a cluster without it keeps the lineage.
+    Several reads of the result see the same rows, also after an executor is lost.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="sitegrain-")
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder name of its own below the shared folder."""
+    return posixpath.join(shared_folder(spark), uuid.uuid4().hex)
