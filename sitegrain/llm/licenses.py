@@ -7,15 +7,15 @@ smallest shingle hash under its own hash function, so a window with a whole temp
 some band with probability 1 - 0.7^24 > 0.9998; a window that holds the least that counts (0.8
 of the template, Jaccard 0.22 at worst) with 1 - 0.78^24 > 0.997.
 
-A band can only collide if the window's smallest shingle belongs to a template. Texts without any
-template shingle can therefore be left out before the windows are made, without losing a
-collision; the test is one hash look-up per shingle.
+A band can only collide if the window's smallest shingle belongs to a template. Texts, and then
+windows, without any template shingle are therefore left out before the bands are computed,
+without losing a collision; the test is one hash look-up per shingle.
 
 Candidates are verified on the shingle strings: the share of the template's shingles that the
 window contains must be ``min_containment`` or more.
 
 Nulls: a null text has no windows; null ids are carried. Texts of fewer than five words match
-nothing. Repeated rows are judged alike. A-Z count as a-z.
+nothing. Repeated rows are judged alike. Case does not count.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm.urls import lower_ascii
 
 SHINGLE = 5
 BANDS = 24
@@ -56,7 +55,7 @@ NOTICES: dict[str, str] = {
 
 
 def shingles_of(text: str) -> list[str]:
-    words = text.translate({c: c + 32 for c in range(65, 91)}).split()
+    words = text.lower().split()
     return [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
 
 
@@ -76,8 +75,8 @@ def template_parts(templates: Mapping[str, str]) -> list[tuple[str, int, list[st
 
 
 def _words(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case."""
-    return F.filter(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words ``[^\\x20\\x09-\\x0D]+`` in lower case; one empty word for a blank text."""
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
 def _shingled(text: Column) -> Column:
@@ -85,22 +84,29 @@ def _shingled(text: Column) -> Column:
 
     def both(words: Column) -> Column:
         n = F.size(words) - (SHINGLE - 1)
-        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
+        # Single elements: ``slice`` would copy the whole array for every shingle.
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[words[i + j] for j in range(SHINGLE)]))
         return F.struct(words.alias("words"), F.when(n > 0, each).alias("hashes"))
 
     return F.transform(F.array(_words(text)), both)
 
 
-def _banded(hashes: Column, seed: int) -> Column:
-    """The band's own order of the shingle hashes: a multiplication by a fixed odd number after a fixed exclusive or."""
-    mask = (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**63 - 1)
-    return F.transform(hashes, lambda h: F.xxhash64(h.bitwiseXOR(F.lit(mask))))
+def _part(values: Column, first: Column, count: Column) -> Column:
+    """``count`` elements from ``first`` on, fewer at the end."""
+    return F.transform(F.sequence(first, F.least(first + count, F.size(values)) - 1), lambda i: values[i])
+
+
+def _bands(hashes: Column) -> Column:
+    """The smallest shingle hash in the order of every band; the band number picks the hash function."""
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(BANDS)), lambda band: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, band)))
+    )
 
 
 def template_table(spark: SparkSession, parts: list[tuple[str, int, list[str]]]) -> DataFrame:
     """(template, part, class, shingles, hashes): one row per template part, bounded by ``MAX_TEMPLATE_SHINGLES``."""
     rows = spark.createDataFrame([(n, i, c, s) for i, (n, c, s) in enumerate(parts)], "template string, part int, class int, shingles array<string>")
-    return rows.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s)))
+    return rows.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(*[F.split(s, " ")[j] for j in range(SHINGLE)])))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str], doc_id: str = "doc_id", text: str = "text", min_containment: float = MIN_CONTAINMENT) -> DataFrame:
@@ -115,21 +121,20 @@ def scan(docs: DataFrame, templates: Mapping[str, str], doc_id: str = "doc_id",
     used = sorted({c for _, c, _ in parts})
     grid = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(CLASSES[c][1]).alias("width"), F.lit(CLASSES[c][2]).alias("stride")) for c in used])
     classed = marked.withColumn("g", F.explode(grid))
-    starts = F.sequence(F.lit(0), F.size("hashes") - 1, F.col("g.stride"))
-    windows = classed.select(
-        "row", "doc_id", F.col("g.class").alias("class"), F.col("g.width").alias("width"), "words", "hashes", F.explode(starts).alias("start")
-    ).withColumn("own", F.slice("hashes", F.col("start") + 1, F.col("width")))
-    bands = lambda h: F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(_banded(h, b)).alias("least")) for b in range(BANDS)])
-    left = windows.withColumn("k", F.explode(bands(F.col("own")))).select(
-        "row", "doc_id", "class", "start", "width", "words", F.col("k.band").alias("band"), F.col("k.least").alias("least")
-    )
-    right = table.withColumn("k", F.explode(bands(F.col("hashes")))).select(
-        "template", "part", "class", "shingles", F.col("k.band").alias("band"), F.col("k.least").alias("least")
+    g = F.col("g")
+    cut = lambda s: F.struct(
+        s.alias("start"), _part(F.col("hashes"), s, g["width"]).alias("own"), _part(F.col("words"), s, g["width"] + (SHINGLE - 1)).alias("span")
     )
+    windows = classed.select(
+        "row", "doc_id", g["class"].alias("class"), F.inline(F.transform(F.sequence(F.lit(0), F.size("hashes") - 1, g["stride"]), cut))
+    ).filter(F.arrays_overlap("own", known.scalar()))
+    left = windows.select("row", "doc_id", "class", "start", "span", F.posexplode(_bands(F.col("own"))).alias("band", "least"))
+    right = table.select("template", "part", "class", "shingles", F.posexplode(_bands(F.col("hashes"))).alias("band", "least"))
     # Bounded by MAX_TEMPLATE_SHINGLES.
     hit = left.join(F.broadcast(right), ["class", "band", "least"])
-    end = F.least(F.col("start") + F.col("width"), F.size("words") - (SHINGLE - 1))
-    own_shingles = F.transform(F.sequence(F.col("start") + 1, end), lambda i: F.array_join(F.slice("words", i, SHINGLE), " "))
+    own_shingles = F.transform(
+        F.sequence(F.lit(1), F.size("span") - (SHINGLE - 1)), lambda i: F.array_join(F.slice("span", i, SHINGLE), " ")
+    )
     share = F.size(F.array_intersect(own_shingles, F.col("shingles"))) / F.size("shingles")
     verified = hit.withColumn("share", share).filter(F.col("share") >= min_containment)
     # A window may collide in several bands.
@@ -146,10 +151,9 @@ def sql(templates: Mapping[str, str], table: str = "documents", min_containment:
     rows = ", ".join(
         f"({quote(n)}, {i}, {len(p)}, {CLASSES[c][1]}, {CLASSES[c][2]}, {quote(s)})" for i, (n, c, p) in enumerate(parts) for s in p
     )
-    ascii_lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 with t(template, part, size, width, stride, shingle) as (values {rows}),
-w as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array({ascii_lower}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws
+w as (select row_number() over () r, doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws
   from {table} where text is not null),
 s as (select r, doc_id, unnest(range(1, len(ws) - {SHINGLE - 2})) pos, ws from w where len(ws) >= {SHINGLE}),
 h as (select r, doc_id, pos - 1 pos, template, part, size, width, stride, t.shingle
