@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import licenses, lines, packing, quality, sharding, simhash, spaced, suffixes, urls
+from sitegrain.llm import licenses, lines, packing, quality, sharding, simhash, spaced, suffixes, urls, windows
 from sitegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,12 @@ def op2_site_lines(spark: SparkSession, folder: str) -> DataFrame:
 CHECKS["op2_site_lines"] = lines.sql()
 
 
+@query
+def op3_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies, and near-duplicate passages of 50 words or more between class representatives."""
+    return windows.near_duplicate_passages(read(spark, folder, "documents"))
+
+
 @query
 def op4_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in one of 40 shards, and where it goes with one shard more."""
