@@ -5,8 +5,9 @@ lines above a boilerplate ratio are dropped from all pages of that site.
 
 Lines travel as 128 hash bits, never as text, and are counted with partial sums in each task, so
 a line that a third of all pages share is one row per task. A site can have at most (mean lines
-per page / ratio) boilerplate lines, so its set is short; pages meet it by site in a plain join
-that Spark broadcasts or splits by size. Page texts are never shuffled for the counts.
+per page / ratio) boilerplate lines, so its set is short. While all sets together are within
+``BROADCAST_LINES`` they are sent to the tasks and no page text is shuffled; beyond it pages meet
+their site's set in a plain join by site, which Spark splits, with the same result.
 
 Nulls: a null text stays null and counts as a page without lines; a null site is a site of its
 own. Blank lines are never boilerplate. Repeated rows are pages of their own. An empty table
@@ -19,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.llm.common import group_key
+from sitegrain.runtime import cut_lineage
 
 MAX_RATIO = 0.1
 MIN_PAGES = 10
+#: Boilerplate lines (16 bytes each) up to which the sets are sent to every task; beyond it pages are joined by site.
+BROADCAST_LINES = 200_000
 
 
 def _lines(text: Column) -> Column:
@@ -52,7 +56,10 @@ def boilerplate(pages: DataFrame, text: str = "text", site: str = "source", max_
 
 def drop_boilerplate(pages: DataFrame, text: str = "text", site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``text`` cleaned, plus ``_l_lines`` and ``_l_dropped``."""
-    found = boilerplate(pages, text, site, max_ratio, min_pages)
+    found = cut_lineage(boilerplate(pages, text, site, max_ratio, min_pages))
+    size = found.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
+    if size <= BROADCAST_LINES:
+        found = F.broadcast(found)
     joined = pages.withColumn("_site", group_key(site)).join(found, "_site", "left")
     lines = _lines(F.col(f"`{text}`"))
     left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), line_key(x)), F.lit(False)))
