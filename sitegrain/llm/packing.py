@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,42 +32,104 @@ LENGTH = 2048
 #: Pieces that one task packs.
 GROUP_PIECES = 50_000
 #: Distinct strings that a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Texts encoded together: about so many bytes.
+STEP_BYTES = 4 << 20
 
 
 class WordEncoder:
-    """Token ids of texts through a table of the strings seen so far."""
+    """Token ids of texts through a table of the white-space separated strings seen so far.
+
+    A string of letters and closing punctuation is made of the ids of both parts, as the
+    tokenizer separates letters from punctuation in any case; so forms of a word share its work.
+    """
+
+    _POINTS = b".,;:!?|"
+    _MARK = "\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self._plain(self._MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
+        """Code 0 is the empty string."""
+        self.codes: dict[bytes, int] = {b"": 0}
+        self.flat, self.begins = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.codes)
+        self.codes.update(zip(words, range(first, first + len(words))))
+        self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of all codes in turn."""
+        begins = self.begins[codes]
+        sizes = self.begins[codes + 1] - begins
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(begins - ends + sizes, sizes) + np.arange(int(ends[-1]) if ends.size else 0)], sizes
+
+    def _encode_new(self, words: list[bytes]) -> None:
+        """Many strings in one call, with a mark of one id between them."""
+        all_ids, all_sizes = [], []
+        for first in range(0, len(words), 2_000):
+            texts = [w.decode("utf-8", "replace") for w in words[first : first + 2_000]]
+            joined = f" {self._MARK} ".join(texts)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else ids[:0]
+            if cuts.size == len(texts) - 1:
+                all_sizes.append(np.diff(np.concatenate(([-1], cuts, [ids.size]))) - 1)
+                all_ids.append(np.delete(ids, cuts))
+            else:  # a string holds the mark itself
+                each = [self._plain(t) for t in texts]
+                all_sizes.append(np.array([len(e) for e in each], np.int64))
+                all_ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+        if words:
+            self._add(words, np.concatenate(all_ids), np.concatenate(all_sizes))
 
     def _learn(self, words: list[bytes]) -> None:
-        new = sorted(set(words).difference(self.codes))
-        for first in range(0, len(new), 20_000):
-            part = new[first : first + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.codes[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.uint32)
+        letters = [w.rstrip(self._POINTS).lower() for w in words]
+        shaped = [x.isalpha() or (not x.isascii() and x.decode("utf-8", "replace").isalpha()) for x in letters]
+        bases = {x if s else w for w, x, s in zip(words, letters, shaped)}
+        bases.update({w[len(x) :] for w, x, s in zip(words, letters, shaped) if s})
+        self._encode_new([w for w in bases if w not in self.codes])
+        made = [(w, x) for w, x, s in zip(words, letters, shaped) if s and w not in self.codes]
+        parts = [self.codes[p] for w, x in made for p in (x, w[len(x) :])]
+        ids, sizes = self._gather(np.array(parts, np.int64))
+        self._add([w for w, _ in made], ids, sizes[0::2] + sizes[1::2])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.codes) > REMEMBERED:
             self.clear()
-        try:
-            codes = [self.codes[w] for w in words]
-        except KeyError:
-            self._learn(words)
-            codes = [self.codes[w] for w in words]
-        return np.concatenate([self.ids[c] for c in codes])
+        split = [t.split() for t in texts]
+        words = list(chain.from_iterable(split))
+        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            unknown = [words[i] for i in missing]
+            self._learn(list(set(unknown)))
+            codes[missing] = list(map(self.codes.__getitem__, unknown))
+        ids, sizes = self._gather(codes)
+        borders = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(borders[:-1], borders[1:])]
+
+
+def _encoder(path: str) -> WordEncoder:
+    """The worker's encoder, kept from one task to the next."""
+    import tokenizers
+
+    known = tokenizers.__dict__.setdefault("_sitegrain_encoders", {})
+    if path not in known:
+        known[path] = WordEncoder(path)
+    return known[path]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, closing: int = 0) -> DataFrame:
@@ -75,12 +138,15 @@ def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for b in batches:
-            texts = b.column("text").cast(pa.large_binary())
+            texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
+            steps = np.cumsum([len(t) for t in texts]) // STEP_BYTES
+            steps = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(texts)] if texts else [0]
             rows, piece, start, size, crc = [], [], [], [], []
-            for i, t in enumerate(texts):
-                ids = np.append(encoder.encode(t.as_py() or b""), np.uint32(closing)).astype("<u4")
+            encoded = chain.from_iterable(encoder.encode(texts[x:y]) for x, y in zip(steps, steps[1:]))
+            for i, own in enumerate(encoded):
+                ids = np.append(own, np.uint32(closing)).astype("<u4")
                 for k, at in enumerate(range(0, ids.size, length)):
                     part = ids[at : at + length]
                     rows.append(i), piece.append(k), start.append(at), size.append(part.size), crc.append(zlib.crc32(part.tobytes()))
