@@ -80,11 +80,11 @@ class SeedIndex:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, equal words) of the stretch with the highest score, the first such one."""
+    """(start, length, equal words) of the stretch with the highest score, the longest one that ends first."""
     sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -MISMATCH))))
     lowest = np.minimum.accumulate(sums)
     end = int(np.argmax(sums[1:] - lowest[:-1])) + 1
-    start = end - 1 - int(np.argmin(sums[:end][::-1]))
+    start = int(np.argmin(sums[:end]))
     return start, end - start, int(equal[start:end].sum())
 
 
