@@ -114,7 +114,7 @@ def vector() -> list[Column]:
         _q("n_dup_lines") / F.greatest(_q("n_lines"), F.lit(1)),
         _q("n_repeat_words") / words,
     ]
-    return [F.round(p * UNIT).cast("long").alias(f"_x{i}") for i, p in enumerate(parts)]
+    return [F.round(p * UNIT).cast("long").alias(f"_q_x{i}") for i, p in enumerate(parts)]
 
 
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
@@ -122,7 +122,7 @@ _STATE = "grp string, start string, center array<double>, precision array<double
 
 
 def _moment_sums() -> list[Column]:
-    x = [F.col(f"_x{i}") for i in range(DIMS)]
+    x = [F.col(f"_q_x{i}") for i in range(DIMS)]
     return [F.count(F.lit(1)).alias("n")] + [F.sum(x[i]).alias(f"s{i}") for i in range(DIMS)] + [
         F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in _PAIRS
     ]
@@ -144,18 +144,18 @@ def _row(grp: str, start: str, n: int, center: np.ndarray, cov: np.ndarray, scal
     }
 
 
-def _distance() -> Column:
+def _distance(center: str = "center", precision: str = "precision") -> Column:
     """Squared Mahalanobis distance of the row's vector from its group's estimate."""
-    d = [F.col(f"_x{i}") / UNIT - F.col("center")[i] for i in range(DIMS)]
+    d = [F.col(f"_q_x{i}") / UNIT - F.col(center)[i] for i in range(DIMS)]
     total = F.lit(0.0)
     for i, j in _PAIRS:
-        total = total + d[i] * d[j] * F.col("precision")[i * DIMS + j] * (1 if i == j else 2)
+        total = total + d[i] * d[j] * F.col(precision)[i * DIMS + j] * (1 if i == j else 2)
     return F.greatest(total, F.lit(0.0))
 
 
 def _starts(vectors: DataFrame, min_rows: int) -> DataFrame:
     """Two starting estimates per group: medians with median deviations, and the plain mean and covariance."""
-    x = [F.col(f"_x{i}") for i in range(DIMS)]
+    x = [F.col(f"_q_x{i}") for i in range(DIMS)]
     # Values are whole thousandths of bounded ranges: the exact percentile keeps a short count table.
     first = cut_lineage(
         vectors.groupBy("grp")
@@ -235,13 +235,14 @@ def mcd_estimates(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source")
 def with_verdict(stats: DataFrame, estimates: DataFrame, groups: tuple[str, ...] = ("lang", "source"), cut: float = CHI2_CUT) -> DataFrame:
     """``stats`` plus ``_q_base_failed``, ``_q_distance`` (null where there is no estimate) and ``_q_kept``."""
     own = stats.select("*", group_key(*groups).alias("_q_grp"), *vector())
-    joined = own.join(estimates.withColumnRenamed("grp", "_q_grp"), "_q_grp", "left")
-    distance = F.when(F.col("center").isNotNull(), F.sqrt(_distance()))
+    known = estimates.select(F.col("grp").alias("_q_grp"), F.col("center").alias("_q_center"), F.col("precision").alias("_q_precision"))
+    joined = own.join(known, "_q_grp", "left")
+    distance = F.when(F.col("_q_center").isNotNull(), F.sqrt(_distance("_q_center", "_q_precision")))
     return (
         joined.withColumn("_q_base_failed", base_failed())
         .withColumn("_q_distance", distance)
         .withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce(F.col("_q_distance") <= F.lit(float(np.sqrt(cut))), F.lit(True)))
-        .drop("_q_grp", "center", "precision", *[f"_x{i}" for i in range(DIMS)])
+        .drop("_q_grp", "_q_center", "_q_precision", *[f"_q_x{i}" for i in range(DIMS)])
     )
 
 
