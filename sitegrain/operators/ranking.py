@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from sitegrain.runtime import cut_lineage
 
 
+#: Decimals of a score that decide an order. Beyond them only the order of summation shows, so such scores are tied.
+SCORE_DECIMALS = 9
+
+
 def by_score(score: str = "opportunity_score", id_col: str = "area_id") -> list[Column]:
-    """Best first, missing scores last, ties by id."""
-    return [F.col(score).desc_nulls_last(), F.col(id_col).asc()]
+    """Best first by ``SCORE_DECIMALS`` decimals, missing scores last, ties by id."""
+    return [F.round(score, SCORE_DECIMALS).desc_nulls_last(), F.col(id_col).asc()]
 
 
 def top_k(df: DataFrame, k: int, by: str = "opportunity_score", id_col: str = "area_id") -> DataFrame:

@@ -794,7 +794,7 @@ for _i, (_mode, _w) in enumerate(STRATEGIES.items()):
 check(
     "strategy_rescore",
     " union all ".join(
-        f"select {quoted(mode)} as strategy, row_number() over (order by opportunity_score desc, area_id) as rank, "
+        f"select {quoted(mode)} as strategy, row_number() over (order by round(opportunity_score, 9) desc, area_id) as rank, "
         f"area_id, {shown(['opportunity_score'])}, reasons_top3 as brief_reason from s_mode{i} "
         "where active_poi_count >= 20 and mean_data_quality_score >= 0.5"
         for i, mode in enumerate(STRATEGIES)
@@ -802,7 +802,7 @@ check(
 )
 check(
     "rank_per_template",
-    "select template, area_id, row_number() over (partition by template order by opportunity_score desc, area_id) "
+    "select template, area_id, row_number() over (partition by template order by round(opportunity_score, 9) desc, area_id) "
     f"as rank, {shown(['opportunity_score'])} from s_all",
 )
 
@@ -860,7 +860,7 @@ check(
 check(
     "topk_areas",
     f"select area_id, {r6('opportunity_score')} as opportunity_score, active_poi_count, reasons_top3 from s_poi20 "
-    "order by s_poi20.opportunity_score desc, area_id limit 50",
+    "order by round(s_poi20.opportunity_score, 9) desc, area_id limit 50",
 )
 check(
     "diagnostic_top20",
@@ -1007,7 +1007,7 @@ CTES["t_summary"] = (
     "'ok' end as status, coalesce(n, 0) as n_cells_qualified, median_top_score, max_score from t_metros left join "
     "(select metro_key, count(*) filter (active_poi_count >= 20) as n from s_metro group by metro_key) using "
     "(metro_key) left join (select metro_key, median(opportunity_score) as median_top_score, max(opportunity_score) "
-    "as max_score from (select *, row_number() over (partition by metro_key order by opportunity_score desc, area_id) "
+    "as max_score from (select *, row_number() over (partition by metro_key order by round(opportunity_score, 9) desc, area_id) "
     "as rn from s_metro where active_poi_count >= 20) where rn <= 25 group by metro_key) using (metro_key)"
 )
 check(
@@ -1020,7 +1020,7 @@ check(
     "alignment_check",
     f"select count(*) as top_n, {r6('median(market_fit_score)')} as median_market_fit, "
     "cast(trunc(median(seifa_irsad_decile)) as bigint) as median_irsad_decile from (select * from s_full20 order by "
-    "opportunity_score desc, area_id limit 50)",
+    "round(opportunity_score, 9) desc, area_id limit 50)",
 )
 
 
@@ -1044,8 +1044,11 @@ check(
     f"' places' as shortlist_notes, {shown(['lat_mean', 'lon_mean'])} from s_poi20 where area_id in "
     f"{best_by('active_poi_count', 's_poi20', 3)}",
 )
-CTES["s_top100"] = "select * from s_full20 order by opportunity_score desc, area_id limit 100"
-CTES["s_map"] = f"select *, {minmax('opportunity_score')} as score_norm from s_top100"
+CTES["s_top100"] = "select * from s_full20 order by round(opportunity_score, 9) desc, area_id limit 100"
+CTES["s_map"] = (
+    "select *, case when max(opportunity_score) over () = min(opportunity_score) over () then 0.0::double "
+    f"else {minmax('opportunity_score')} end as score_norm from s_top100"
+)
 check(
     "map_points",
     f"select {r6('lat_mean')} as lat, {r6('lon_mean')} as lon, {r6('opportunity_score')} as opportunity_score, "
