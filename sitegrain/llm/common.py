@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.runtime import new_folder
+
 #: Bytes of text that one step of an array computation handles; a longer single text is handled alone.
 BLOCK_BYTES = 2 << 20
 
@@ -26,6 +28,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as compressed columns in the shared folder; several reads see the same rows."""
+    folder = new_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit mixing step (the finaliser of SplitMix64)."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & (2**64 - 1))

@@ -9,8 +9,11 @@ after all digits are exactly the repeated windows.
    windows share theirs, so this digit is one row per run of suffixes, not per suffix. Runs whose
    anchor occurs once are done.
 2. *Run digit.* Runs with the same anchor and the same bytes around it are repeated as a whole.
-3. *Depth digit.* What is left are runs whose anchor is shared by runs with other bytes, that is
-   the borders of repeated passages: their suffixes are told apart by all ``depth`` bytes.
+3. *Slice digit.* What is left are runs whose anchor is shared by runs with other bytes. Their
+   suffixes are cut into ``SLICES`` slices by their distance to the anchor; all suffixes of a slice
+   have most of their bytes in common, and slices whose common bytes occur once are done.
+4. *Depth digit.* The other slices are the borders of repeated passages: their suffixes are told
+   apart by all ``depth`` bytes.
 
 Buckets are aggregates with partial sums and joins that Spark can split; no bucket is gathered in
 one task. Texts are keyed by 128 hash bits of their bytes, so ids may be null or repeated, and
@@ -30,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import BYTE, mixed
-from sitegrain.runtime import cut_lineage
+from sitegrain.llm.common import BYTE, mixed, written
 
 DEPTH = 200
 GRAM = 48
+SLICES = 4
 #: Bytes of one array computation; longer texts are handled in overlapping parts.
 PART_BYTES = 1 << 20
 _POSITION = np.uint64((1 << 22) - 1)
@@ -114,7 +117,7 @@ def suffix_runs(data: np.ndarray, borders: np.ndarray, depth: int) -> tuple[np.n
     return owner[begin], first, last, place, grams[place], run
 
 
-_RUNS = "ta long, tb long, first int, last int, k long, h long"
+_RUNS = "ta long, tb long, first int, last int, place int, k long, h long"
 
 
 def _emit_runs(depth: int):
@@ -122,12 +125,13 @@ def _emit_runs(depth: int):
         for b in batches:
             ta, tb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ta", "tb"))
             for data, borders, rows, bases in parts([t or b"" for t in b.column("text").to_pylist()], depth):
-                part, first, last, _, k, h = suffix_runs(data, borders, depth)
+                part, first, last, place, k, h = suffix_runs(data, borders, depth)
                 shift = bases[part] - borders[part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ta[rows[part]]), pa.array(tb[rows[part]]), pa.array((first + shift).astype(np.int32)),
-                     pa.array((last + shift).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(h.view(np.int64))],
-                    names=["ta", "tb", "first", "last", "k", "h"],
+                     pa.array((last + shift).astype(np.int32)), pa.array((place + shift).astype(np.int32)),
+                     pa.array(k.view(np.int64)), pa.array(h.view(np.int64))],
+                    names=["ta", "tb", "first", "last", "place", "k", "h"],
                 )
 
     return emit
@@ -168,90 +172,139 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def run_digits(keyed: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(ta, tb, first, last, whole, split): runs left after the first two digits.
+    """(ta, tb, first, last, place, whole, split): runs left after the first two digits.
 
     ``whole``: every window of the run is repeated. ``split``: the run has to be told apart from
-    others with its anchor by the last digit.
+    others with its anchor by further digits. Runs of equal texts come once per copy.
     """
     runs = keyed.filter(F.octet_length("text") >= depth).select("ta", "tb", "text").mapInArrow(_emit_runs(depth), _RUNS)
     often = runs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
-    left = cut_lineage(runs.join(often, "k"))
-    alike = left.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ta", "tb", "first")).alias("one"))
-    alike = cut_lineage(alike)
+    left = written(runs.join(often, "k"))
+    me = F.xxhash64("ta", "tb", "first")
+    alike = written(left.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("one")))
     kinds = alike.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     judged = alike.filter("n > 1").join(kinds, "k", "left").unionByName(alike.filter("n = 1").join(kinds, "k"))
-    one = (F.col("one.ta") == F.col("ta")) & (F.col("one.tb") == F.col("tb")) & (F.col("one.first") == F.col("first"))
-    return (
-        left.distinct().join(judged, ["k", "h"])
-        .select("ta", "tb", "first", "last", (F.col("n") > 1).alias("whole"), (F.col("kinds").isNotNull() & one).alias("split"))
+    return left.join(judged, ["k", "h"]).select(
+        "ta", "tb", "first", "last", "place", (F.col("n") > 1).alias("whole"), (F.col("kinds").isNotNull() & (me == F.col("one"))).alias("split")
     )
 
 
-_RESULT = "doc_id {}, ta long, tb long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, runs array<struct<first:int,last:int,whole:boolean,split:boolean>>"
+def _part_of(text: bytes, low: int, depth: int) -> Roller:
+    """The bytes that runs beginning in one part of a text can reach."""
+    return Roller(np.frombuffer(text[low : low + PART_BYTES + 2 * depth], np.uint8))
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document."""
-    keyed = _keyed(docs, doc_id, text)
-    per_text = run_digits(keyed, depth).groupBy("ta", "tb").agg(F.collect_list(F.struct("first", "last", "whole", "split")).alias("runs"))
-    schema = _RESULT.format(keyed.schema["doc_id"].dataType.simpleString())
-    names = ["doc_id", "ta", "tb", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "runs"]
+def _emit_slices(depth: int):
+    """(ta, tb, low, high, w) per slice: its first and last suffix and the hash of the bytes that all its suffixes share."""
+    step = -(-(depth - GRAM + 1) // SLICES)
 
-    def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Texts without open runs are finished; only the others are kept for the last digit.
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, texts, runs = [], [], []
-            for t, r in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
-                r = r or []
-                open_ = any(x["split"] for x in r)
-                spans = [] if open_ else merged(*_whole(r, depth))
-                rows.append(digest(t, spans)), texts.append(t if open_ else None), runs.append(r if open_ else None)
-            columns = [pa.array(x, pa.int64()) for x in list(zip(*rows))[:3]] if rows else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("ta"), b.column("tb"), *columns, pa.array([r[3] for r in rows], pa.string()),
-                 pa.array(texts, pa.binary()), pa.array(runs, b.schema.field("runs").type)], names=names,
-            )
-
-    seen = cut_lineage(keyed.join(per_text, ["ta", "tb"], "left").select("doc_id", "ta", "tb", "text", "runs").mapInArrow(first_look, schema))
-    pending = seen.filter(F.col("text").isNotNull())
+            ta, tb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ta", "tb"))
+            row, low, high, w = [], [], [], []
+            for i, (t, runs) in enumerate(zip(b.column("text").to_pylist(), b.column("more").to_pylist())):
+                first, last, place = (np.array([x[c] for x in runs], np.int64) for c in ("first", "last", "place"))
+                for base in np.unique(first // PART_BYTES * PART_BYTES).tolist():
+                    roll, own = _part_of(t, base, depth), first // PART_BYTES * PART_BYTES == base
+                    f, l, p = first[own], last[own], place[own]
+                    for j in range(SLICES):
+                        near, far = step * j, min(step * (j + 1) - 1, depth - GRAM)
+                        x, y = np.maximum(f, p - far), np.minimum(l, p - near)
+                        ok = x <= y
+                        row.append(np.full(int(ok.sum()), i)), low.append(x[ok]), high.append(y[ok])
+                        w.append(mixed(roll.ranges(p[ok] - near - base, p[ok] - far + depth - base), 7 + j))
+            if row:
+                at = np.concatenate(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ta[at]), pa.array(tb[at]), pa.array(np.concatenate(low).astype(np.int32)),
+                     pa.array(np.concatenate(high).astype(np.int32)), pa.array(np.concatenate(w).view(np.int64))],
+                    names=["ta", "tb", "low", "high", "w"],
+                )
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return emit
+
+
+def _emit_suffixes(depth: int):
+    """(ta, tb, at, w) per suffix of the open slices: its place and the hash of its first ``depth`` bytes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ta, tb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ta", "tb"))
-            for i, (t, r) in enumerate(zip(b.column("text").to_pylist(), b.column("runs").to_pylist())):
-                at = [np.arange(x["first"], x["last"] + 1) for x in r if x["split"]]
-                at = np.unique(np.concatenate(at))
-                for low in range(0, len(t), PART_BYTES):
-                    own = at[(at >= low) & (at < low + PART_BYTES)]
-                    if own.size:
-                        roll = Roller(np.frombuffer(t[low : low + PART_BYTES + depth - 1], np.uint8))
-                        w = roll.ranges(own - low, own - low + depth)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(own.size, ta[i])), pa.array(np.full(own.size, tb[i])), pa.array(own.astype(np.int32)),
-                             pa.array(w.view(np.int64))], names=["ta", "tb", "at", "w"],
-                        )
-
-    windows = pending.dropDuplicates(["ta", "tb"]).select("ta", "tb", "text", "runs").mapInArrow(explode, "ta long, tb long, at int, w long")
-    often = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    found = windows.join(often, "w").groupBy("ta", "tb").agg(F.array_sort(F.collect_set("at")).alias("at"))
-
-    def last_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t, r, at in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), b.column("at").to_pylist()):
-                first, end = _whole(r, depth)
-                more = np.array(at or [], np.int64)
-                rows.append(digest(t, merged(np.concatenate((first, more)), np.concatenate((end, more + depth)))))
-            columns = [pa.array(x, pa.int64()) for x in list(zip(*rows))[:3]] if rows else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, pa.array([r[3] for r in rows], pa.string())], names=out)
-
-    out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    finished = pending.join(found, ["ta", "tb"], "left").select("doc_id", "text", "runs", "at").mapInArrow(
-        last_look, seen.select(*out).schema
+            for i, (t, slices) in enumerate(zip(b.column("text").to_pylist(), b.column("more").to_pylist())):
+                at = np.unique(np.concatenate([np.arange(x["low"], x["high"] + 1) for x in slices]))
+                for base in np.unique(at // PART_BYTES * PART_BYTES).tolist():
+                    own = at[at // PART_BYTES * PART_BYTES == base]
+                    w = _part_of(t, base, depth).ranges(own - base, own - base + depth)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(own.size, ta[i])), pa.array(np.full(own.size, tb[i])), pa.array(own.astype(np.int32)),
+                         pa.array(w.view(np.int64))], names=["ta", "tb", "at", "w"],
+                    )
+
+    return emit
+
+
+def _shared(rows: DataFrame, place: str) -> DataFrame:
+    """The rows whose ``w`` occurs at two different places. Copies of a text are one place."""
+    me = F.xxhash64("ta", "tb", place)
+    often = rows.groupBy("w").agg(F.min(me).alias("a"), F.max(me).alias("b")).filter("a <> b").select("w")
+    return rows.join(often, "w")
+
+
+_OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the texts without open parts (``more``); the others are kept for the next digit."""
+    for b in batches:
+        rows, texts, spans, more = [], [], [], []
+        for t, s, m in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "more"))):
+            first, end = (np.array([x[c] for x in s], np.int64) for c in ("first", "end"))
+            covered = merged(first, end)
+            rows.append((None,) * 4 if m else digest(t, covered))
+            texts.append(t if m else None), more.append(m or None)
+            spans.append([{"first": x, "end": y} for x, y in covered] if m else None)
+        counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("ta"), b.column("tb"), *counts, pa.array([r[3] for r in rows], pa.string()), pa.array(texts, pa.binary()),
+             pa.array(spans, b.schema.field("spans").type), pa.array(more, b.schema.field("more").type)],
+            names=["doc_id", "ta", "tb", *_OUT[1:], "text", "spans", "more"],
+        )
+
+
+def _looked(texts: DataFrame, more: str) -> DataFrame:
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = (
+        f"doc_id {kind}, ta long, tb long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, "
+        f"spans array<struct<first:int,end:int>>, more array<struct<{more}>>"
     )
-    return seen.filter(F.col("text").isNull()).select(*out).unionByName(finished)
+    return texts.select("doc_id", "ta", "tb", "text", "spans", "more").mapInArrow(_look, schema)
 
 
-def _whole(runs: list[dict], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    first = np.array([x["first"] for x in runs if x["whole"]], np.int64)
-    return first, np.array([x["last"] for x in runs if x["whole"]], np.int64) + depth
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row per document."""
+    keyed = _keyed(docs, doc_id, text)
+    span = lambda first, end: F.struct(first.alias("first"), end.alias("end"))
+    fields = [F.col(c) for c in ("first", "last", "place", "whole", "split")]
+    per_text = run_digits(keyed, depth).groupBy("ta", "tb").agg(F.collect_set(F.struct(*fields)).alias("runs"))
+    none = F.array().cast("array<struct<first:int,end:int>>")
+    whole = F.transform(F.filter("runs", lambda r: r["whole"]), lambda r: span(r["first"], r["last"] + depth))
+    split = F.transform(
+        F.filter("runs", lambda r: r["split"]), lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), r["place"].alias("place"))
+    )
+    texts = keyed.join(per_text, ["ta", "tb"], "left").withColumns({"spans": F.coalesce(whole, none), "more": split})
+    seen = written(_looked(texts, "first:int,last:int,place:int"))
+    pending = seen.filter(F.col("text").isNotNull())
+
+    slices = _shared(pending.select("ta", "tb", "text", "more").mapInArrow(_emit_slices(depth), "ta long, tb long, low int, high int, w long"), "low")
+    open_ = slices.groupBy("ta", "tb").agg(F.collect_set(F.struct("low", "high")).alias("more"))
+    sliced = written(_looked(pending.drop("more").join(open_, ["ta", "tb"], "left"), "low:int,high:int"))
+    pending = sliced.filter(F.col("text").isNotNull())
+
+    suffixes = _shared(pending.select("ta", "tb", "text", "more").mapInArrow(_emit_suffixes(depth), "ta long, tb long, at int, w long"), "at")
+    found = suffixes.groupBy("ta", "tb").agg(F.collect_set("at").alias("at"))
+    more = F.transform(F.coalesce("at", F.array().cast("array<int>")), lambda x: span(x, x + depth))
+    ended = pending.join(found, ["ta", "tb"], "left").withColumns(
+        {"spans": F.concat("spans", more), "more": F.lit(None).cast("array<struct<low:int,high:int>>")}
+    )
+    done = seen.filter(F.col("text").isNull()).select(*_OUT).unionByName(sliced.filter(F.col("text").isNull()).select(*_OUT))
+    return done.unionByName(_looked(ended, "low:int,high:int").select(*_OUT))
