@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,13 +140,20 @@ def _emit_runs(depth: int):
 
 def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Disjoint, non-touching spans that cover the same bytes."""
-    out: list[list[int]] = []
-    for a, b in sorted(zip(first.tolist(), end.tolist())):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    begins = np.flatnonzero(np.append(first.size > 0, first[1:] > reach[:-1])) if first.size else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], first.size)[: begins.size] - 1
+    return list(zip(first[begins].tolist(), reach[ends].tolist()))
+
+
+def _lists(column: pa.ListArray, *fields: str) -> Iterator[list[np.ndarray]]:
+    """The named fields of each row's list of structs as arrays; a null list is empty."""
+    values = [column.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in fields]
+    offsets, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    for i, ok in enumerate(there):
+        x, y = (offsets[i], offsets[i + 1]) if ok else (0, 0)
+        yield [v[x:y] for v in values]
 
 
 def digest(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str]:
@@ -202,8 +210,7 @@ def _emit_slices(depth: int):
         for b in batches:
             ta, tb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ta", "tb"))
             row, low, high, w = [], [], [], []
-            for i, (t, runs) in enumerate(zip(b.column("text").to_pylist(), b.column("more").to_pylist())):
-                first, last, place = (np.array([x[c] for x in runs], np.int64) for c in ("first", "last", "place"))
+            for i, (t, (first, last, place)) in enumerate(zip(b.column("text").to_pylist(), _lists(b.column("more"), "first", "last", "place"))):
                 for base in np.unique(first // PART_BYTES * PART_BYTES).tolist():
                     roll, own = _part_of(t, base, depth), first // PART_BYTES * PART_BYTES == base
                     f, l, p = first[own], last[own], place[own]
@@ -230,8 +237,8 @@ def _emit_suffixes(depth: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ta, tb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ta", "tb"))
-            for i, (t, slices) in enumerate(zip(b.column("text").to_pylist(), b.column("more").to_pylist())):
-                at = np.unique(np.concatenate([np.arange(x["low"], x["high"] + 1) for x in slices]))
+            for i, (t, (low, high)) in enumerate(zip(b.column("text").to_pylist(), _lists(b.column("more"), "low", "high"))):
+                at = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(low.tolist(), high.tolist())]))
                 for base in np.unique(at // PART_BYTES * PART_BYTES).tolist():
                     own = at[at // PART_BYTES * PART_BYTES == base]
                     w = _part_of(t, base, depth).ranges(own - base, own - base + depth)
@@ -256,17 +263,16 @@ _OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of the texts without open parts (``more``); the others are kept for the next digit."""
     for b in batches:
-        rows, texts, spans, more = [], [], [], []
-        for t, s, m in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "more"))):
-            first, end = (np.array([x[c] for x in s], np.int64) for c in ("first", "end"))
-            covered = merged(first, end)
-            rows.append((None,) * 4 if m else digest(t, covered))
-            texts.append(t if m else None), more.append(m or None)
-            spans.append([{"first": x, "end": y} for x, y in covered] if m else None)
+        more, spans, texts = b.column("more"), b.column("spans"), b.column("text")
+        open_ = pc.greater(pc.fill_null(pc.list_value_length(more), 0), 0)
+        rows = [
+            (None,) * 4 if o else digest(t.as_py(), merged(first, end))
+            for o, t, (first, end) in zip(open_.to_pylist(), texts, _lists(spans, "first", "end"))
+        ]
         counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+        kept = [pc.if_else(open_, c, pa.scalar(None, c.type)) for c in (texts, spans, more)]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("ta"), b.column("tb"), *counts, pa.array([r[3] for r in rows], pa.string()), pa.array(texts, pa.binary()),
-             pa.array(spans, b.schema.field("spans").type), pa.array(more, b.schema.field("more").type)],
+            [b.column("doc_id"), b.column("ta"), b.column("tb"), *counts, pa.array([r[3] for r in rows], pa.string()), *kept],
             names=["doc_id", "ta", "tb", *_OUT[1:], "text", "spans", "more"],
         )
 
