@@ -8,9 +8,9 @@ for folder in (str(ROOT), str(ROOT / "tests")):
     if folder not in sys.path:
         sys.path.insert(0, folder)
 
-from sitegrain.runtime import session  # noqa: E402
+from helpers import SMALL  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
+from sitegrain.runtime import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -33,8 +33,3 @@ def inputs(spark):
     from workload.inputs import Inputs
 
     return Inputs(spark, SMALL)
-
-
-def rows(df, *order):
-    out = [tuple(r) for r in df.collect()]
-    return sorted(out, key=str) if not order else out

@@ -1,7 +1,7 @@
 """Every registered query against its checking SQL, on the smallest tables."""
 
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 from workload.checks import CHECKS
 from workload.queries import QUERIES

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from sitegrain.operators.spatial import locate
 from sitegrain.sources import census, housing, regions, sinks, transport

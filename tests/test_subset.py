@@ -1,8 +1,8 @@
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
-from sitegrain.config import COMPARED_METROS, SYDNEY, metro_keys
+from sitegrain.config import SYDNEY
 from sitegrain.operators import subset as P
 from sitegrain.plans.subsets import city_places, country_places
 from sitegrain.sources import places as SP
@@ -32,13 +32,6 @@ def test_country_then_city(raw):
     assert au.count() == 2
 
 
-def test_metro_names():
-    assert metro_keys("all") == COMPARED_METROS == metro_keys("")
-    assert metro_keys("singapore, seoul") == ("singapore", "seoul")
-    with pytest.raises(ValueError):
-        metro_keys("atlantis")
-
-
 def test_missing_columns_fail(spark):
     with pytest.raises(ValueError, match="required"):
         SP.canonical_places(spark.createDataFrame([("a", 1.0)], "id string, lat double"))
