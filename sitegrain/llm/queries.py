@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import licenses, lines, packing, quality, sharding, simhash, spaced, suffixes, urls, windows
+from sitegrain.llm import alignment, bpe, licenses, lines, packing, quality, sharding, simhash, spaced, suffixes, urls, whitening, windows
 from sitegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
+TOKEN_LIMIT = 1024
 SHARDS = 40
 URL_RULES = (
     urls.Rule("net", "/", "block"),
@@ -133,3 +135,23 @@ def op9_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
 def op10_radix_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     """What remains of every document without the bytes of repeated 200-byte strings."""
     return suffixes.repeated_windows(read(spark, folder, "documents"))
+
+
+@query
+def op11_jacobi_davidson(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whitened on the eight strongest components of all vectors."""
+    return whitening.whiten(read(spark, folder, "embeddings"), "vec_id", "embedding", components=8)
+
+
+@query
+def op12_array_merging(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and whether they are over the limit."""
+    counted = bpe.count_tokens(read(spark, folder, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op13_perfect_hash_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of every document under two tokenizers, with corpus-wide counts of the links."""
+    paths = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
+    return alignment.align_counts(read(spark, folder, "documents"), *paths)
