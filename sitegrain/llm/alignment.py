@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -43,19 +44,19 @@ from sitegrain.llm.bpe import STEP_CHARS, ArrayMerger, segments, steps
 from sitegrain.llm.common import mixed, written
 
 #: Bytes of texts that are aligned together; a longer text makes a group of its own.
-GROUP_BYTES = 4 << 20
-#: Characters of segments, and links of them, that a task remembers before it starts afresh.
-REMEMBERED_CHARS, REMEMBERED_LINKS = 16 << 20, 8 << 20
+GROUP_BYTES = 2 << 20
+#: Segments, characters of them and links of them that a task remembers before it starts afresh.
+REMEMBERED, REMEMBERED_CHARS, REMEMBERED_LINKS = 400_000, 8 << 20, 4 << 20
 #: Distinct pairs that a task of the first pass holds before it hands them on.
 HELD_PAIRS = 1 << 20
 #: Pairs are filed under so many fixed buckets; a slice is a run of buckets.
 BUCKET_BITS = 12
 #: About so many pairs make a slice.
-SLICE_PAIRS = 1 << 18
+SLICE_PAIRS = 1 << 17
 #: Vectors that one task of the tree adds up.
 FAN_IN = 16
 #: About so many links of documents are looked up together.
-LOOKUP_LINKS = 1 << 21
+LOOKUP_LINKS = 1 << 20
 #: Pairs of a step when groups are multiplied out.
 STEP_LINKS = 4 << 20
 SPACE = "▁"
@@ -129,16 +130,18 @@ class Aligner:
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError(f"{path_b}: a piece goes on after a word's end, so texts cannot be cut there")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.a_size = np.array([len(x) for x in self.a.token_bytes], np.int64)
-        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a.token_bytes, self.b_bytes))
+        self.b_flat = Ragged.of(self.b_bytes)
+        # Every id as text with the sign that follows it, for A before A, A before B, B before B, B at the end of a group.
+        self.signed = [Ragged.of([f"{i}{sign}".encode() for i in range(max(n, self.a.width))]) for sign in ",|,;"]
         self.blank = self.b.piece_to_id(SPACE)
         self.width = n
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.shown: list[str] = []
         self.chars = 0
+        self.shown, self.shown_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.numbers = np.zeros((0, 5), np.int64)  # valid, n_a, n_b, n_groups, n_links of each segment
         self.begins = np.zeros(1, np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -148,21 +151,19 @@ class Aligner:
         cut = self.b.encode([p[1:] for p in parts], num_threads=1)
         cut = [own if len(p) > 1 else [self.blank] for own, p in zip(cut, parts)]
         sizes = np.array([len(own) for own in cut], np.int64)
-        return np.array([i for own in cut for i in own], np.int64), sizes
+        return np.fromiter(chain.from_iterable(cut), np.int64, int(sizes.sum())), sizes
 
     def learn(self, parts: list[str]) -> None:
-        raw = [p.encode() for p in parts]
         a, a_n = self.a.tokenize(parts)
         b, b_n = self._cut_b(parts)
-        a_cut, b_cut = (np.concatenate(([0], np.cumsum(n))) for n in (a_n, b_n))
-        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        table_a, table_b = self.a.token_bytes, self.b_bytes
-        valid = np.zeros(len(parts), dtype=bool)
-        a_list, b_list = a.tolist(), b.tolist()
-        for i, r in enumerate(raw):
-            valid[i] = r == b"".join(table_b[x] for x in b_list[b_cut[i] : b_cut[i + 1]]) and r == b"".join(
-                table_a[x] for x in a_list[a_cut[i] : a_cut[i + 1]]
-            )
+        # The bytes of A are those of the text by construction; those of B are compared.
+        raw = [p.encode() for p in parts]
+        size = np.array([len(r) for r in raw], np.int64)
+        b_of = np.repeat(np.arange(len(parts)), b_n)
+        valid = np.bincount(b_of, weights=self.b_size[b], minlength=len(parts)).astype(np.int64) == size
+        given = np.frombuffer(b"".join(r for r, v in zip(raw, valid.tolist()) if v), np.uint8)
+        wrong = np.flatnonzero(self.b_flat.take(b[valid[b_of]]) != given)
+        valid[np.flatnonzero(valid)[np.searchsorted(np.cumsum(size[valid]), wrong, "right")]] = False
         # Only valid segments are aligned: there both token rows cover the same bytes.
         a_of, b_of = np.repeat(np.arange(len(parts)), a_n), np.repeat(np.arange(len(parts)), b_n)
         a_on, b_on = valid[a_of], valid[b_of]
@@ -179,7 +180,7 @@ class Aligner:
         ], axis=1)
         owner, pairs, times = self._links(a, a_group, b, b_group, group_of)
         if self.shows:
-            self._show(parts, a.tolist(), a_in, b.tolist(), b_in, group_of)
+            self._show(n, a, a_group, b, b_group, group_of)
         first = len(self.known)
         self.known.update(zip(parts, range(first, first + n)))
         self.chars += sum(map(len, parts))
@@ -190,7 +191,7 @@ class Aligner:
     def _links(self, a, a_group, b, b_group, group_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(segment, pair, times) of all links, each pair once a segment, by segment."""
         wide = max(self.width, self.a.width)
-        (a_key, a_times), (b_key, b_times) = (np.unique(g * wide + x, return_counts=True) for x, g in ((a, a_group), (b, b_group)))
+        (a_key, a_times), (b_key, b_times) = (_counted(g * wide + x) for x, g in ((a, a_group), (b, b_group)))
         a_n, b_n = np.bincount(a_key // wide, minlength=group_of.size), np.bincount(b_key // wide, minlength=group_of.size)
         a_first, b_first = np.cumsum(a_n) - a_n, np.cumsum(b_n) - b_n
         done = np.concatenate(([0], np.cumsum(a_n * b_n)))
@@ -209,22 +210,35 @@ class Aligner:
             return (np.zeros(0, np.int64),) * 3
         return _summed(*(np.concatenate(x) for x in zip(*out))) if len(out) > 1 else out[0]
 
-    def _show(self, parts, a, a_in, b, b_in, group_of) -> None:
-        """The groups of each segment as text, ``a1,a2|b1;...``."""
-        x = y = 0
-        own: list[list[str]] = [[] for _ in parts]
-        for g, m, n in zip(group_of.tolist(), a_in.tolist(), b_in.tolist()):
-            own[g].append(f"{','.join(map(str, a[x : x + m]))}|{','.join(map(str, b[y : y + n]))}")
-            x, y = x + m, y + n
-        self.shown.extend(map(";".join, own))
-
-    def codes(self, lists: list[list[str]]) -> list[np.ndarray]:
-        if self.chars > REMEMBERED_CHARS or self.pairs.size > REMEMBERED_LINKS:
+    def _show(self, n: int, a, a_group, b, b_group, group_of) -> None:
+        """The groups of each segment as text, ``a1,a2|b1;...``, with a sign after the last one too."""
+        a_kind, b_kind = (np.append(g[1:] != g[:-1], True) if g.size else g.astype(bool) for g in (a_group, b_group))
+        kind = np.concatenate((a_kind.astype(np.int64), 2 + b_kind.astype(np.int64)))
+        ids, group = np.concatenate((a, b)), np.concatenate((a_group, b_group))
+        order = np.argsort(group * 2 + (kind > 1), kind="stable")
+        ids, kind, group = ids[order], kind[order], group[order]
+        sizes = np.zeros(ids.size, np.int64)
+        for k, table in enumerate(self.signed):
+            sizes[kind == k] = table.sizes(ids[kind == k])
+        ends = np.cumsum(sizes)
+        out = np.zeros(int(sizes.sum()), np.uint8)
+        for k, table in enumerate(self.signed):
+            own = kind == k
+            out[_spans(ends[own] - sizes[own], sizes[own])] = table.take(ids[own])
+        lengths = np.bincount(group_of[group], weights=sizes, minlength=n).astype(np.int64)
+        self.shown_at = np.concatenate((self.shown_at, self.shown_at[-1] + np.cumsum(lengths)))
+        self.shown = np.concatenate((self.shown, out))
+
+    def codes(self, parts: list[str]) -> np.ndarray:
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS or self.pairs.size > REMEMBERED_LINKS:
             self.clear()
-        new = list(dict.fromkeys(s for own in lists for s in own if s not in self.known))
-        if new:
-            self.learn(new)
-        return [np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)) for own in lists]
+        out = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            unknown = [parts[i] for i in missing]
+            self.learn(list(set(unknown)))
+            out[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+        return out
 
     def align(self, texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(numbers per text, digest per text, text number, pair, times): the links by text and pair, each once a text.
@@ -240,19 +254,22 @@ class Aligner:
         waiting: list[tuple[int, list[str]]] = []
 
         def settle() -> None:
-            codes = self.codes([own for _, own in waiting])
-            who = np.repeat(np.array([i for i, _ in waiting], np.int64), np.array([c.size for c in codes], np.int64))
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-            found = self.numbers[flat]
-            np.logical_and.at(valid, who, found[:, 0] == 1)
+            if not waiting:
+                return
+            who, sizes = np.array([i for i, _ in waiting], np.int64), np.array([len(own) for _, own in waiting], np.int64)
+            flat = self.codes(list(chain.from_iterable(own for _, own in waiting)))
+            codes = np.split(flat, np.cumsum(sizes)[:-1])
+            found = np.add.reduceat(self.numbers[flat], np.cumsum(sizes) - sizes, axis=0)
+            np.logical_and.at(valid, who, found[:, 0] == sizes)
             np.add.at(numbers, who, found[:, 1:])
+            who = np.repeat(who, sizes)
             for (i, _), own in zip(waiting, codes) if self.shows else ():
-                shown = ";".join(map(self.shown.__getitem__, own.tolist()))
-                digests[i].update((";" + shown if begun[i] else shown).encode())
+                first = self.shown_at[own]
+                shown = self.shown[_spans(first, self.shown_at[own + 1] - first)]
+                digests[i].update((b";" if begun[i] else b"") + shown[:-1].tobytes())
                 begun[i] = True
             sizes = self.begins[flat + 1] - self.begins[flat]
-            ends = np.cumsum(sizes)
-            take = np.repeat(self.begins[flat] - ends + sizes, sizes) + np.arange(int(sizes.sum()))
+            take = _spans(self.begins[flat], sizes)
             links.append(_summed(np.repeat(who, sizes), self.pairs[take], self.times[take]))
             waiting.clear()
 
@@ -265,20 +282,59 @@ class Aligner:
                     settle()
                     size = 0
         settle()
-        owner, pairs, times = _summed(*(np.concatenate(x) for x in zip(*links))) if len(links) > 1 else links[0]
+        none = np.zeros(0, np.int64)
+        owner, pairs, times = _summed(*(np.concatenate(x) for x in zip(*links))) if len(links) > 1 else links[0] if links else (none,) * 3
         numbers[~valid] = 0
         on = valid[owner]
         return numbers, [d.hexdigest() if v else "" for d, v in zip(digests, valid)], owner[on], pairs[on], times[on]
 
 
+def _spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``first``, ``first + 1`` and so on of every span in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(int(ends[-1]) if ends.size else 0)
+
+
+class Ragged:
+    """Byte strings by number in one array."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        self.data, self.at = data, at
+
+    @classmethod
+    def of(cls, strings: list[bytes]) -> Ragged:
+        return cls(np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)]))
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self.at[numbers + 1] - self.at[numbers]
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        return self.data[_spans(self.at[numbers], self.sizes(numbers))]
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, how often each occurs), sorted."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, keys.size))
+
+
 def _summed(owner: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``times`` added up per owner and pair, sorted by both."""
+    if not owner.size:
+        return owner, pairs, times
+    wide = int(pairs.max()) + 1
+    if int(owner.max()) < (1 << 62) // wide:
+        key = owner * wide + pairs
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        at = np.flatnonzero(new)
+        return key[at] // wide, key[at] % wide, np.add.reduceat(times[order], at)
     order = np.lexsort((pairs, owner))
     owner, pairs, times = owner[order], pairs[order], times[order]
-    new = np.ones(owner.size, dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (pairs[1:] != pairs[:-1])
-    at = np.flatnonzero(new)
-    return owner[at], pairs[at], np.add.reduceat(times, at) if at.size else times
+    at = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pairs[1:] != pairs[:-1])))
+    return owner[at], pairs[at], np.add.reduceat(times, at)
 
 
 @lru_cache(maxsize=1)
@@ -319,9 +375,9 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         for b in batches:
             for _, texts in _groups(b):
-                pairs, times = np.unique(own.align(texts)[3], return_counts=True)
+                pairs, times = _counted(own.align(texts)[3])
                 held = [*held, (pairs, times)]
-                if len(held) > 8:
+                if len(held) > 4:
                     held = [joined()]
                     if held[0][0].size > HELD_PAIRS:
                         yield handed(*held[0])
@@ -406,6 +462,17 @@ def _best(tables: DataFrame, width: int) -> dict[int, int]:
     return {r.a: r.most for r in found.collect()}
 
 
+def packed(base: int, owner: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> bytes:
+    """Links of one group of documents: the number of its first row, then rows after it, pairs and times."""
+    return b"".join((np.int64(base).tobytes(), pairs.astype("<i8").tobytes(), times.astype("<i8").tobytes(), owner.astype("<i4").tobytes()))
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = (len(raw) - 8) // 20
+    base, pairs, times = (np.frombuffer(raw, "<i8", m, k) for m, k in ((1, 0), (n, 8), (n, 8 + 8 * n)))
+    return np.frombuffer(raw, "<i4", n, 8 + 16 * n) + base, pairs, times
+
+
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -437,7 +504,7 @@ def document_links(docs: DataFrame, path_a: str, path_b: str, slices: int, salts
                     for k in range(0, mine.size, LOOKUP_LINKS):
                         piece = mine[k : k + LOOKUP_LINKS]
                         salt = int(mixed(np.array([(part << 20) + run], np.uint64), s)[0] % np.uint64(salts))
-                        rows.append((s, salt, np.stack((at[owner[piece]], pairs[piece], times[piece])).tobytes()))
+                        rows.append((s, salt, packed(row + (part << 40), owner[piece], pairs[piece], times[piece])))
                         run += 1
                 m = len(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -458,7 +525,7 @@ def look_up(links: DataFrame, tables: DataFrame, best: dict[int, int], width: in
         if not len(rows):
             return pd.DataFrame(columns=["row", "n_best", "count_sum"])
         own = Table(table.iloc[0])
-        at, pairs, times = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["links"]], axis=1)
+        at, pairs, times = (np.concatenate(x) for x in zip(*map(unpacked, rows["links"])))
         count = own.counts[own.slots(pairs)]
         who, place = np.unique(at, return_inverse=True)
         n_best, total = np.zeros(who.size, np.int64), np.zeros(who.size, np.int64)

@@ -37,6 +37,10 @@ NEVER = np.iinfo(np.int32).max
 # A space after a character that is no white space (U+180E was white space in older Unicode).
 _CUT = re.compile(r"(?<=[^\s\u180e]) ")
 _AWKWARD = re.compile(r"[\s\u180e] ")
+# The usual byte-level pre-tokens of ASCII text, where no version of Unicode matters; other text goes through the library.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: Parts that are cut together.
+_TOGETHER = 20_000
 _SEPARATORS = "\x00\x01\x02\x03\ufffe\uffff"
 
 
@@ -102,20 +106,24 @@ class ArrayMerger:
             raise ValueError(f"{path}: only plain added tokens and no normalizer are supported")
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pre_tokenizer = Tokenizer.from_file(path).pre_tokenizer
+        if spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError(f"{path}: only the usual byte-level pre-tokenizer is supported")
+        # Ranks of all pairs of single bytes, for the first round.
+        self.first = self.ranks(np.repeat(self.symbol, 256), np.tile(self.symbol, 256))
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
         at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
         return np.where(self.keys[at] == key, self.order[at], NEVER).astype(np.int32)
 
-    def merge(self, sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(token ids of all sequences in turn, tokens per sequence)."""
-        lengths = np.array([len(s) for s in sequences], np.int64)
-        ids = self.symbol[np.frombuffer(b"".join(sequences), np.uint8)]
+    def merge(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids of all sequences in turn, tokens per sequence); ``raw`` holds the bytes of all, ``lengths`` of each."""
+        raw = raw.astype(np.int64)
+        ids = self.symbol[raw]
         owner = np.repeat(np.arange(lengths.size), lengths)
         rank = np.full(ids.size, NEVER, np.int32)
         if ids.size > 1:
-            rank[:-1] = np.where(owner[:-1] == owner[1:], self.ranks(ids[:-1], ids[1:]), NEVER)
+            rank[:-1] = np.where(owner[:-1] == owner[1:], self.first[raw[:-1] * 256 + raw[1:]], NEVER)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while ids.size:
             begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -138,7 +146,9 @@ class ArrayMerger:
             keep[here + 1] = False
             at = (np.cumsum(keep) - 1)[here]
             ids, owner, rank = ids[keep], owner[keep], rank[keep]
-            changed = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            touched = np.zeros(ids.size + 1, dtype=bool)
+            touched[at] = touched[at - 1] = True  # the last place takes what lies before the first
+            changed = np.flatnonzero(touched[:-1])
             last = changed[changed == ids.size - 1]
             changed = changed[changed < ids.size - 1]
             rank[last] = NEVER
@@ -149,19 +159,50 @@ class ArrayMerger:
         owner, ids = (np.concatenate(x) for x in zip(*done))
         return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=lengths.size)
 
+    def _lengths(self, texts: list[str]) -> np.ndarray:
+        """Bytes of every pre-token of ``texts`` in turn."""
+        found = [_ASCII.findall(t) if t.isascii() else [x for x, _ in self.pre_tokenizer.pre_tokenize_str(t)] for t in texts]
+        return np.fromiter(map(len, chain.from_iterable(found)), np.int64)
+
     def tokenize(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all parts in turn, tokens per part); strings of added tokens are plain text here."""
-        cut = [[t for t, _ in self.pre_tokenizer.pre_tokenize_str(p)] for p in parts]
-        distinct: dict[str, int] = {}
-        flat = np.fromiter((distinct.setdefault(t, len(distinct)) for t in chain.from_iterable(cut)), np.int64)
-        code = {ord(c): b for b, c in enumerate(byte_alphabet())}
-        ids, sizes = self.merge([t.translate(code).encode("latin-1") for t in distinct])
-        begins = np.cumsum(sizes) - sizes
-        take = sizes[flat]
-        ends = np.cumsum(take)
-        out = ids[np.repeat(begins[flat] - ends + take, take) + np.arange(int(take.sum()))]
-        borders = np.concatenate(([0], ends))[np.cumsum([0, *map(len, cut)])]
-        return out, np.diff(borders)
+        whole = [i for i, p in enumerate(parts) if p]
+        if len(whole) < len(parts):
+            ids, own = self.tokenize([parts[i] for i in whole])
+            sizes = np.zeros(len(parts), np.int64)
+            sizes[whole] = own
+            return ids, sizes
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sizes = np.array([len(p) if p.isascii() else len(p.encode()) for p in parts], np.int64)
+        raw = np.frombuffer("".join(parts).encode(), np.uint8)
+        ends = np.cumsum(sizes)
+        last = raw[ends - 1]
+        # A pre-token ends between a part that ends with no white space and one that begins with a space. So
+        # such parts are cut together, ASCII ones apart from others, and the few remaining ones each alone.
+        alone = (raw[ends - sizes] != 32) | (last <= 32)
+        for i in np.flatnonzero(last > 127).tolist():
+            alone[i] |= parts[i][-1].isspace() or parts[i][-1] == "\u180e"
+        kind = np.where(alone, 2, np.maximum.reduceat(raw, ends - sizes) > 127)
+        order = np.argsort(kind, kind="stable")
+        lengths: list[np.ndarray] = []
+        first = 0
+        for k, n in enumerate(np.bincount(kind, minlength=3).tolist()):
+            own = [parts[i] for i in order[first : first + n].tolist()]
+            first += n
+            step = n if k == 2 else _TOGETHER
+            lengths += [self._lengths(own[at : at + step] if k == 2 else ["".join(own[at : at + step])]) for at in range(0, n, max(1, step))]
+        cut = np.concatenate(lengths)
+        placed = sizes[order]
+        begins = (ends - sizes)[order]
+        stops = np.cumsum(placed)
+        ids, tokens = self.merge(raw[np.repeat(begins - stops + placed, placed) + np.arange(raw.size)], cut)
+        per_part = np.diff(np.concatenate(([0], np.cumsum(tokens)))[np.searchsorted(np.cumsum(cut), stops, "right")], prepend=0)
+        back = np.empty_like(order)
+        back[order] = np.arange(order.size)
+        own, begins = per_part[back], (np.cumsum(per_part) - per_part)[back]
+        stops = np.cumsum(own)
+        return ids[np.repeat(begins - stops + own, own) + np.arange(ids.size)], own
 
 
 class Counter:
@@ -175,7 +216,7 @@ class Counter:
     def _learn(self, lists: list[list[str]]) -> None:
         if self.chars > REMEMBERED_CHARS:
             self.known, self.chars = {}, 0
-        new = list(dict.fromkeys(s for own in lists for s in own if s not in self.known))
+        new = list(set(chain.from_iterable(lists)).difference(self.known))
         _, sizes = self.merger.tokenize(new)
         self.known.update(zip(new, sizes.tolist()))
         self.chars += sum(map(len, new))

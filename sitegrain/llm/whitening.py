@@ -24,6 +24,7 @@ are not read, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,10 @@ from sitegrain.llm.common import written
 SCALE, SHIFT = 1024, 100_000
 #: Bytes of centred entries in one block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of centred entries in one partition at least, unless there would be fewer partitions than cores.
+PART_BYTES = 64 << 20
+#: Shares of a product that are added up in one place.
+FAN_IN = 64
 INNER_STEPS = 8
 #: A residual below so many units of rounding of the largest eigenvalue counts as zero.
 ROUNDING_UNITS = 16
@@ -161,8 +166,9 @@ class Covariance:
     """The covariance of all vectors as an operator: centred blocks on the executors, products summed up a tree."""
 
     def __init__(self, table: DataFrame, total: np.ndarray, n: int):
-        self.n, self.dims = n, total.size
-        rows = max(1, BLOCK_BYTES // (8 * self.dims))
+        dims = total.size
+        self.n = n
+        rows = max(1, BLOCK_BYTES // (8 * dims))
 
         def centred(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             for x in _entries(batches, "x"):
@@ -173,9 +179,10 @@ class Covariance:
             for block in centred(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
 
-        dims = self.dims
         # Kept by the executors; a lost block is read again from the written table.
-        self.blocks: RDD = table.select("x").mapInArrow(blocks, "block binary").rdd.map(
+        parts = max(table.sparkSession.sparkContext.defaultParallelism, -(-8 * n * dims // PART_BYTES))
+        self.parts = max(2, parts)
+        self.blocks: RDD = table.select("x").coalesce(parts).mapInArrow(blocks, "block binary").rdd.map(
             lambda r: np.frombuffer(r.block, float).reshape(-1, dims)
         ).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -186,7 +193,9 @@ class Covariance:
                 out += share(block)
             yield out
 
-        return self.blocks.mapPartitions(added).treeReduce(np.add, depth=2)
+        # As many levels as keep the shares that meet in one place, the driver included, below the fan-in.
+        depth = max(1, math.ceil(math.log(self.parts, FAN_IN)))
+        return self.blocks.mapPartitions(added).treeReduce(np.add, depth=depth)
 
     def product(self, columns: np.ndarray) -> np.ndarray:
         return self.sum(lambda c: c.T @ (c @ columns), columns.shape) / self.n
