@@ -7,25 +7,40 @@ from pyspark.sql import functions as F
 
 
 def all_edges(rings: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            rings,
-            lambda ring: F.zip_with(
-                ring,
-                F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)),
-                lambda a, b: F.struct(
-                    a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
-                ),
-            ),
+    """Edges of all rings; ``px`` is the smallest x of the edge before it in its ring."""
+
+    def of_ring(ring: Column) -> Column:
+        n = F.size(ring)
+
+        def edge(a: Column, i: Column) -> Column:
+            after, before = F.get(ring, (i + 1) % n), F.get(ring, (i + n - 1) % n)
+            return F.struct(
+                a["x"].alias("x1"), a["y"].alias("y1"), after["x"].alias("x2"), after["y"].alias("y2"),
+                F.least(before["x"], a["x"]).alias("px"),
+            )
+
+        return F.transform(ring, edge)
+
+    return F.flatten(F.transform(rings, of_ring))
+
+
+def _crossings(edges: Column, x: Column, y: Column) -> Column:
+    """How many edges a ray from the point towards larger x crosses."""
+    return F.size(
+        F.filter(
+            edges,
+            lambda e: ((e["y1"] > y) != (e["y2"] > y))
+            & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]),
         )
     )
 
 
 def covers(edges: Column, x: Column, y: Column) -> Column:
     """Ray-cast parity over all rings, so holes count as outside."""
-    crossings = F.filter(
-        edges,
-        lambda e: ((e["y1"] > y) != (e["y2"] > y))
-        & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]),
-    )
-    return (F.size(crossings) % 2) == 1
+    return (_crossings(edges, x, y) % 2) == 1
+
+
+def covers_from(edges: Column, ends: Column, odd: Column, x: Column, y: Column) -> Column:
+    """The same parity from the edges of the point's cell: ``odd`` and ``ends`` stand for all edges beyond it."""
+    above = F.size(F.filter(ends, lambda end: end > y))
+    return ((_crossings(edges, x, y) + above) % 2 == 1) != odd

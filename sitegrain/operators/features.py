@@ -12,7 +12,7 @@ from sitegrain.config import Taxonomy
 from sitegrain.functions.numbers import QUALITY_DIGITS, steady_mean
 from sitegrain.operators.areas import HEX8, AreaUnit, mean_position, with_area_key
 from sitegrain.operators.quality import quality_score
-from sitegrain.operators.roles import FLAGS, INLINE_IDS, with_roles
+from sitegrain.operators.roles import FLAGS, distinct_ids, role_masks
 from sitegrain.operators.spatial import locate
 from sitegrain.runtime import cut_lineage
 
@@ -33,7 +33,6 @@ def area_aggregate(
     categories: DataFrame,
     taxonomies: Mapping[str, Taxonomy],
     unit: AreaUnit = HEX8,
-    inline_limit: int = INLINE_IDS,
     group_cols: tuple[str, ...] = (),
 ) -> DataFrame:
     """Counts, mean quality and centre per area, for all templates in one pass.
@@ -43,17 +42,25 @@ def area_aggregate(
     with a third of all places is as cheap as any other. Templates are side-by-side sums of
     the same row and unfold after the aggregate.
     """
-    flagged = with_roles(with_area_key(places, unit), categories, taxonomies, inline_limit)
-    scored = flagged.withColumn("_quality", quality_score(places.columns))
+    keyed = with_area_key(places, unit)
+    masks = role_masks(categories, taxonomies)
+    names = [f"_mask{w}" for w in range(masks.words)]
+    scored = keyed.withColumns(
+        dict(zip(names, masks.folded()))
+        | {
+            "unique_category_count": distinct_ids(F.col("category_ids")).cast("bigint"),
+            "_quality": quality_score(places.columns),
+        }
+    )
+    own = [F.col(n) for n in names]
     keys = list(taxonomies)
-    role = {k: F.col("roles")[i] for i, k in enumerate(keys)}
     sums = []
     for i, k in enumerate(keys):
-        active = ~role[k]["is_excluded"]
+        active = ~masks.any_of(f"{k}.is_excluded", own)
         sums.append(F.count_if(active).alias(f"active_{i}"))
         for flag in FLAGS:
             if flag != "is_excluded":
-                sums.append(F.count_if(active & role[k][flag]).alias(f"{flag}_{i}"))
+                sums.append(F.count_if(active & masks.any_of(f"{k}.{flag}", own)).alias(f"{flag}_{i}"))
     grouped = scored.groupBy("area_key", *group_cols).agg(
         F.count(F.lit(1)).alias("total_poi_count"),
         *sums,
@@ -166,7 +173,6 @@ def area_features(
     taxonomies: Mapping[str, Taxonomy],
     unit: AreaUnit = HEX8,
     layers: Layers = Layers(),
-    inline_limit: int = INLINE_IDS,
     keep_center: bool = False,
     group_cols: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -175,7 +181,7 @@ def area_features(
     Layers belong to hexagonal cells; locality areas take none of them. With layers, the
     aggregate is cut off from the place scan first, because several joins read it.
     """
-    areas = derived(area_aggregate(places, categories, taxonomies, unit, inline_limit, group_cols))
+    areas = derived(area_aggregate(places, categories, taxonomies, unit, group_cols))
     wanted = unit.kind == "hex" and any(
         x is not None for x in (layers.transit, layers.regions, layers.suburbs)
     )

@@ -172,12 +172,6 @@ def diagnostic_lists(ranked: DataFrame, n: int = 20) -> DataFrame:
     return out
 
 
-def compare(df: DataFrame, ids: Sequence[str], id_col: str = "area_id") -> DataFrame:
-    """Report columns of two or three picked areas."""
-    rows = picked(compatible(df), ids, id_col)
-    return rows.select(*report_columns(rows.columns), id_col)
-
-
 def with_context(ranked: DataFrame, context: DataFrame, on: str = "area_id") -> DataFrame:
     """Business-neutral scores of an earlier ranking; typed nulls for what it lacks."""
     types = {"transit_access_score": "double", "market_fit_score": "double", "seifa_irsad_decile": "bigint"}

@@ -1,23 +1,28 @@
 """Categories to business roles, and roles to places.
 
-Role keywords are matched once per category, never per place. The category table is a
-dimension of a few thousand rows; its matching ids become literal sets (hash lookups per
-array element), so flagging places needs no explode, no join and no shuffle. A table with
-more matches than ``INLINE_IDS`` takes the join path instead, with the same result.
+Role keywords are matched once per category, never per place. Each category id gets a bit mask
+with one bit per template and role. The masks of the matching categories, part of a dimension with
+a row per category, become one constant: an array of short lists, in which an id is found by its hash. A place
+folds the masks of its ids into one, so flagging places needs no explode, no join and no shuffle,
+whatever the number of templates; null and repeated place or category ids need no care.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.config import COMPLEMENT_GROUPS, GYM_BROAD, GYM_STRICT, Taxonomy
-from sitegrain.functions.text import category_text, clean_keywords, mentions_any, sql_strings
+from sitegrain.functions.text import category_text, clean_keywords, mentions_any
 
 FLAGS = ("is_competitor", "is_complementary", "is_excluded", "is_commercial_other")
-INLINE_IDS = 20_000
+#: Lists over which the masks are dealt; a list of the largest published category tables holds a few ids.
+MASK_LISTS = 1 << 10
+#: Bits of one mask; more flags take more masks.
+MASK_BITS = 60
 
 
 def explode_ids(df: DataFrame, column: str = "category_ids", out: str = "category_id") -> DataFrame:
@@ -42,136 +47,111 @@ def with_names(df: DataFrame, categories: DataFrame) -> DataFrame:
     return joined.withColumn("category_name", F.coalesce("_name", "category_id")).drop("_name")
 
 
-def category_roles(categories: DataFrame, taxonomies: Mapping[str, Taxonomy]) -> DataFrame:
-    """(category_id, template, four flags): one row per category and template."""
-    text = category_text()
-    per_template = F.array(
-        *[
-            F.struct(
-                F.lit(key).alias("template"),
-                *[mentions_any(text, words).alias(flag) for flag, words in taxonomy.keywords().items()],
-            )
-            for key, taxonomy in taxonomies.items()
-        ]
-    )
-    return categories.select("category_id", F.inline(per_template))
-
-
 def distinct_ids(column: Column) -> Column:
     """Number of different non-null ids in an id list; 0 for no list."""
     return F.coalesce(F.size(F.array_distinct(F.array_compact(column))), F.lit(0))
 
 
-class IdSets:
-    """Named sets of category ids that a place's id list is tested against."""
+class CategoryMasks:
+    """Named flags of categories as bit masks, looked up from the id lists of places."""
+
+    def __init__(self, categories: DataFrame, flags: Mapping[str, Column]):
+        """``flags`` are conditions on a row of ``categories``; rows that share an id add up."""
+        self.place = {name: divmod(i, MASK_BITS) for i, name in enumerate(flags)}
+        columns = list(flags.values())
+        words = [
+            sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(columns[at : at + MASK_BITS])), F.lit(0).cast("bigint"))
+            for at in range(0, len(columns), MASK_BITS)
+        ]
+        self.words = len(words)
+        names = [f"m{i}" for i in range(self.words)]
+        masks = categories.select("category_id", *[w.alias(n) for n, w in zip(names, words)]).filter(
+            F.col("category_id").isNotNull() & (F.greatest(*names, F.lit(0)) > 0)
+        )
+        lists: list[list[dict]] = [[] for _ in range(MASK_LISTS)]
+        # A dimension: the matching categories, a few dozen bytes each.
+        for row in masks.select(self._list_of(F.col("category_id")), "category_id", *names).collect():
+            lists[row[0]].append({"i": row[1], **dict(zip(names, row[2:]))})
+        # Text that the optimizer folds into one constant.
+        fields = ", ".join(f"{n}: bigint" for n in names)
+        self.table = F.from_json(F.lit(json.dumps(lists)), f"array<array<struct<i: string, {fields}>>>")
+
+    @staticmethod
+    def _list_of(category_id: Column) -> Column:
+        return F.pmod(F.xxhash64(category_id), F.lit(MASK_LISTS)).cast("int")
+
+    def _of_id(self, category_id: Column, word: int) -> Column:
+        none = F.lit(0).cast("bigint")
+        return F.aggregate(
+            F.get(self.table, self._list_of(category_id)), none,
+            lambda seen, e: seen.bitwiseOR(F.when(e["i"] == category_id, e[f"m{word}"]).otherwise(none)),
+        )
+
+    def folded(self, ids: str = "category_ids") -> list[Column]:
+        """The masks of a place: those of all its ids together; 0 for no ids."""
+        none = F.lit(0).cast("bigint")
 
-    def __init__(self, sets: Mapping[str, tuple[str, ...]]):
-        self.sets = dict(sets)
+        def fold(word: int) -> Column:
+            return F.coalesce(F.aggregate(ids, none, lambda seen, i: seen.bitwiseOR(self._of_id(i, word))), none)
 
-    @classmethod
-    def from_matches(cls, matches: DataFrame, names: Iterable[str], limit: int = INLINE_IDS) -> "IdSets | None":
-        """Sets from a (category_id, name...) table of flags, or ``None`` if it is too large.
+        return [fold(w) for w in range(self.words)]
 
-        Reads at most ``limit`` + 1 dimension rows.
-        """
-        names = list(names)
-        any_hit = F.lit(False)
-        for name in names:
-            any_hit = any_hit | F.col(f"`{name}`")
-        rows = matches.filter(any_hit & F.col("category_id").isNotNull()).limit(limit + 1).collect()
-        if len(rows) > limit:
-            return None
-        return cls({n: tuple(sorted({r["category_id"] for r in rows if r[n]})) for n in names})
+    def each(self, ids: str = "category_ids") -> list[Column]:
+        """The masks of every entry of the id list, repeated entries repeatedly."""
+        listed = F.coalesce(F.col(ids), F.array().cast("array<string>"))
 
-    def any_of(self, name: str, ids: str = "category_ids") -> Column:
-        """True where the id list holds a member. The literals become one hash set."""
-        if not self.sets[name]:
-            return F.lit(False)
-        return F.expr(f"coalesce(exists({ids}, x -> x in ({sql_strings(self.sets[name])})), false)")
+        def look_up(word: int) -> Column:
+            return F.transform(listed, lambda i: self._of_id(i, word))
 
-    def count_of(self, name: str, ids: str = "category_ids") -> Column:
-        """How many entries of the id list are members."""
-        if not self.sets[name]:
-            return F.lit(0)
-        return F.expr(f"coalesce(size(filter({ids}, x -> x in ({sql_strings(self.sets[name])}))), 0)")
+        return [look_up(w) for w in range(self.words)]
 
+    def any_of(self, name: str, folded: list[Column]) -> Column:
+        word, bit = self.place[name]
+        return folded[word].bitwiseAND(F.lit(1 << bit)) != 0
 
-def _wide_flags(categories: DataFrame, taxonomies: Mapping[str, Taxonomy]) -> tuple[DataFrame, list[str]]:
+    def count_of(self, name: str, each: list[Column]) -> Column:
+        """How many entries of the id list have the flag."""
+        word, bit = self.place[name]
+        return F.size(F.filter(each[word], lambda m: m.bitwiseAND(F.lit(1 << bit)) != 0))
+
+
+def role_masks(categories: DataFrame, taxonomies: Mapping[str, Taxonomy]) -> CategoryMasks:
+    """One bit per template and role, named ``template.flag``."""
     text = category_text()
-    columns = {
-        f"{key}.{flag}": mentions_any(text, words)
-        for key, taxonomy in taxonomies.items()
-        for flag, words in taxonomy.keywords().items()
-    }
-    return categories.select("category_id", *[c.alias(n) for n, c in columns.items()]), list(columns)
+    return CategoryMasks(
+        categories,
+        {
+            f"{key}.{flag}": mentions_any(text, words)
+            for key, taxonomy in taxonomies.items()
+            for flag, words in taxonomy.keywords().items()
+        },
+    )
 
 
-def with_roles(
-    places: DataFrame,
-    categories: DataFrame,
-    taxonomies: Mapping[str, Taxonomy],
-    inline_limit: int = INLINE_IDS,
-) -> DataFrame:
+def with_roles(places: DataFrame, categories: DataFrame, taxonomies: Mapping[str, Taxonomy]) -> DataFrame:
     """Places with ``roles array<struct<template, four flags>>`` and ``unique_category_count``.
 
     Roles overlap: a place may be competitor and complement at once. Places without a known
     category get all flags false; unknown ids still count as categories.
     """
-    wide, names = _wide_flags(categories, taxonomies)
-    sets = IdSets.from_matches(wide, names, inline_limit)
-    if sets is None:
-        return _with_roles_joined(places, wide, taxonomies)
-    roles = F.array(
-        *[
-            F.struct(F.lit(key).alias("template"), *[sets.any_of(f"{key}.{flag}").alias(flag) for flag in FLAGS])
-            for key in taxonomies
-        ]
+    masks = role_masks(categories, taxonomies)
+    names = [f"_mask{w}" for w in range(masks.words)]
+    folded = places.withColumns(
+        dict(zip(names, masks.folded())) | {"unique_category_count": distinct_ids(F.col("category_ids")).cast("bigint")}
     )
-    return places.withColumns(
-        {"roles": roles, "unique_category_count": distinct_ids(F.col("category_ids")).cast("bigint")}
-    )
-
-
-def _with_roles_joined(places: DataFrame, wide: DataFrame, taxonomies: Mapping[str, Taxonomy]) -> DataFrame:
-    """The path for huge category tables: explode, join, and fold back per place.
-
-    Only the id and the flags are shuffled; the flags join back onto the places by id.
-    """
-    narrow = explode_ids(places.select("place_id", "category_ids"))
-    found = narrow.filter(F.col("category_id").isNotNull()).join(wide, "category_id", "left")
+    own = [F.col(n) for n in names]
     roles = F.array(
         *[
-            F.struct(
-                F.lit(key).alias("template"),
-                *[F.coalesce(F.bool_or(F.col(f"`{key}.{f}`")), F.lit(False)).alias(f) for f in FLAGS],
-            )
+            F.struct(F.lit(key).alias("template"), *[masks.any_of(f"{key}.{flag}", own).alias(flag) for flag in FLAGS])
             for key in taxonomies
         ]
     )
-    folded = found.groupBy("place_id").agg(roles.alias("_roles"))
-    none = F.array(
-        *[F.struct(F.lit(key).alias("template"), *[F.lit(False).alias(f) for f in FLAGS]) for key in taxonomies]
-    )
-    return (
-        places.join(folded, "place_id", "left")
-        .withColumns(
-            {
-                "roles": F.coalesce("_roles", none),
-                "unique_category_count": distinct_ids(F.col("category_ids")).cast("bigint"),
-            }
-        )
-        .drop("_roles")
-    )
+    return folded.withColumn("roles", roles).drop(*names)
 
 
-def place_roles(
-    places: DataFrame,
-    categories: DataFrame,
-    taxonomies: Mapping[str, Taxonomy],
-    inline_limit: int = INLINE_IDS,
-) -> DataFrame:
+def place_roles(places: DataFrame, categories: DataFrame, taxonomies: Mapping[str, Taxonomy]) -> DataFrame:
     """(place_id, template, four flags, unique_category_count)."""
-    flagged = with_roles(places, categories, taxonomies, inline_limit)
+    flagged = with_roles(places, categories, taxonomies)
     # Outer: the array is never empty, and a plain inline would make the optimizer push a
     # "not empty" filter below the projection and compute every flag twice.
     return flagged.select("place_id", "unique_category_count", F.inline_outer("roles")).select(

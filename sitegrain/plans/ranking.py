@@ -19,15 +19,14 @@ from sitegrain.config import (
 )
 from sitegrain.functions.numbers import QUALITY_DIGITS, clamp01, steady_sum
 from sitegrain.functions.text import category_text, mentions_any
-from sitegrain.operators.areas import HEX8, AreaUnit, cell_counts, mean_position, sum_categories, with_area_key
+from sitegrain.operators.areas import HEX8, AreaUnit, mean_position, with_area_key
 from sitegrain.operators.features import Layers, area_features
-from sitegrain.operators.quality import area_quality, quality_score
+from sitegrain.operators.quality import quality_score
 from sitegrain.operators.ranking import by_score, full_rank
 from sitegrain.operators.reasons import with_reasons
 from sitegrain.operators.reports import metro_summary, with_context, with_metro
-from sitegrain.operators.roles import INLINE_IDS, IdSets, match_categories
-
-from sitegrain.operators.scoring import guardrails, light_parts, light_score, opportunity
+from sitegrain.operators.roles import CategoryMasks
+from sitegrain.operators.scoring import guardrails, light_parts, opportunity
 from sitegrain.runtime import cut_lineage
 
 
@@ -76,22 +75,24 @@ def rescore(
     return full_rank(guardrails(scored, min_active, min_quality), by_score())
 
 
-def keyword_sets(
+def keyword_masks(
     categories: DataFrame, competitor: Iterable[str], complement: Iterable[str], exclude: Iterable[str] = ()
-) -> DataFrame:
-    """(category_id, competitor, complement) flags; exclusions override both."""
+) -> CategoryMasks:
+    """``competitor`` and ``complement`` flags; exclusions override both."""
     text = category_text()
     words = custom_taxonomy(competitor, complement, exclude)
     allowed = ~mentions_any(text, words.excluded)
-    return categories.select(
-        "category_id",
-        (mentions_any(text, words.competitor) & allowed).alias("competitor"),
-        (mentions_any(text, words.complementary) & allowed).alias("complement"),
+    return CategoryMasks(
+        categories,
+        {
+            "competitor": mentions_any(text, words.competitor) & allowed,
+            "complement": mentions_any(text, words.complementary) & allowed,
+        },
     )
 
 
 def cell_profile(
-    places: DataFrame, sets: IdSets, unit: AreaUnit = HEX8, penalties: QualityPenalties = QualityPenalties()
+    places: DataFrame, masks: CategoryMasks, unit: AreaUnit = HEX8, penalties: QualityPenalties = QualityPenalties()
 ) -> DataFrame:
     """Place count, centre, set counts and category-weighted quality per area, in one pass.
 
@@ -107,13 +108,14 @@ def cell_profile(
         "area_key",
         "lat",
         "lon",
-        sets.count_of("competitor").alias("_competitor"),
-        sets.count_of("complement").alias("_complement"),
+        *[each.alias(f"_each{w}") for w, each in enumerate(masks.each())],
         rows.alias("_rows"),
         (base * known + unknown_base * (rows - known)).alias("_quality"),
     )
+    own = [F.col(f"_each{w}") for w in range(masks.words)]
+    counted = keyed.withColumns({f"_{n}": masks.count_of(n, own) for n in ("competitor", "complement")})
     return (
-        keyed.groupBy("area_key")
+        counted.groupBy("area_key")
         .agg(
             F.count(F.lit(1)).alias("poi_count"),
             *mean_position(),
@@ -137,27 +139,10 @@ def custom_rank(
     context: DataFrame | None = None,
     weights: LightWeights = CUSTOM_WEIGHTS,
     unit: AreaUnit = HEX8,
-    inline_limit: int = INLINE_IDS,
 ) -> DataFrame:
     """Light ranking for ad-hoc keywords, with reasons relative to the median area."""
-    sets = IdSets.from_matches(
-        keyword_sets(categories, competitor, complement, exclude), ("competitor", "complement"), inline_limit
-    )
-    if sets is not None:
-        scored = cell_profile(places, sets, unit).withColumns(light_parts(weights))
-    else:
-        cells = cell_counts(places, unit)
-        scored = light_score(
-            cells.areas,
-            sum_categories(
-                cells.area_category_counts, match_categories(categories, competitor, exclude), "competitor_count"
-            ),
-            sum_categories(
-                cells.area_category_counts, match_categories(categories, complement, exclude), "complement_count"
-            ),
-            area_quality(cells.area_pois),
-            weights,
-        )
+    masks = keyword_masks(categories, competitor, complement, exclude)
+    scored = cell_profile(places, masks, unit).withColumns(light_parts(weights))
     scored = cut_lineage(scored.withColumn("active_poi_count", F.col("poi_count")))
     if context is not None:
         scored = with_context(scored, context)

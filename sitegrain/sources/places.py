@@ -126,8 +126,3 @@ def clean_categories(df: DataFrame) -> DataFrame:
     rest = [c for c in CATEGORY_COLUMNS[1:] if c in df.columns]
     picked = df.groupBy("category_id").agg(F.min(F.struct(*rest)).alias("row"))
     return picked.select("category_id", *[F.col(f"row.{c}").alias(c) for c in rest])
-
-
-def category_names(categories: DataFrame) -> DataFrame:
-    """The lookup part of the category table."""
-    return categories.select("category_id", "category_name", "category_label")

@@ -1,12 +1,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from helpers import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitegrain.config import GYM, TEMPLATES, Taxonomy, Weights
+from sitegrain.functions.geometry import covers, covers_from
 from sitegrain.functions.numbers import sheet_number, steady_mean
 from sitegrain.functions.text import clean_keywords, mentions_any
 from sitegrain.operators import areas as A
@@ -52,16 +54,32 @@ def test_keywords(spark):
     assert not any(r[0] for r in df.select(mentions_any(F.col("t"), [])).collect())
 
 
-def test_role_paths_agree(places, cats):
+def test_roles_of_null_and_repeated_ids(places, cats):
     tx = {"gym": GYM.taxonomy, "own": Taxonomy(("office",), ("cafe",), ("yoga",), ())}
-    inline = C.place_roles(places, cats, tx)
-    joined = C.place_roles(places, cats, tx, inline_limit=0)
-    assert rows(inline) == rows(joined)
-    got = {(r.place_id, r.template): r for r in inline.collect()}
+    got = {(r.place_id, r.template): r for r in C.place_roles(places, cats, tx).collect()}
     assert got["1", "gym"][2:] == (True, True, False, False, 2)
     assert got["4", "gym"][2:] == (True, False, False, True, 3)
     assert got["4", "own"][2:] == (True, False, True, False, 3)
     assert got["2", "gym"][2:] == got["3", "gym"][2:] == (False, False, False, False, 0)
+    # Place ids say nothing about roles: null and repeated ones keep each row's own.
+    renamed = places.withColumn("place_id", F.when(F.col("place_id") != "5", F.lit("same")))
+    assert sorted(r[1:] for r in C.place_roles(renamed, cats, tx).collect()) == sorted(r[1:] for r in C.place_roles(places, cats, tx).collect())
+
+
+def test_many_templates_and_many_categories(spark, places):
+    """More flags than a mask has bits, more categories than lists, ids that occur twice."""
+    n = 5 * C.MASK_LISTS
+    many = spark.range(n).select(
+        F.concat(F.lit("id"), "id").alias("category_id"), F.concat(F.lit("kind "), F.col("id") % 40, F.lit(".")).alias("category_name"),
+        F.lit(None).cast("string").alias("category_label"),
+    )
+    twice = many.limit(1).withColumns({"category_id": F.lit("id7"), "category_name": F.lit("kind 39.")})
+    tx = {f"t{i:02}": Taxonomy((f"kind {i}.",), ("kind 39.",), (), ()) for i in range(20)}
+    listed = spark.createDataFrame([("a", [f"id{n - 1}", "id7", None, "no"]), (None, ["id7", "id7"]), ("b", None)], "place_id string, category_ids array<string>")
+    got = C.place_roles(listed, many.union(twice), tx).collect()
+    have = {(r.place_id, r.template) for r in got if r.is_competitor}
+    assert have == {("a", f"t{(n - 1) % 40:02}"), ("a", "t07"), (None, "t07")} - {("a", "t39")}
+    assert {r.place_id for r in got if r.is_complementary} == {"a", None} and len(got) == 60
 
 
 def test_excluded_places_are_not_active(places, cats):
@@ -70,11 +88,10 @@ def test_excluded_places_are_not_active(places, cats):
     assert sorted((r.total_poi_count, r.active_poi_count) for r in got.values()) == [(1, 1), (3, 2)]
 
 
-def test_custom_rank_paths_agree(places, cats):
-    args = (["gym"], ["cafe", "office"], ["yoga"])
-    one = custom_rank(places, cats, *args)
-    two = custom_rank(places, cats, *args, inline_limit=0)
-    assert rows(one.select(*sorted(one.columns))) == rows(two.select(*sorted(one.columns)))
+def test_custom_rank_counts_rows_of_ids(places, cats):
+    got = {r.area_id: r for r in custom_rank(places, cats, ["gym"], ["cafe", "office"], ["yoga"]).collect()}
+    # Entries count each, also repeated ones: place 1 lists the gym twice.
+    assert sorted((r.poi_count, r.competitor_count, r.complement_count) for r in got.values()) == [(1, 0, 1), (3, 2, 1)]
 
 
 def test_quality_rules(spark):
@@ -146,11 +163,62 @@ def test_locate_equals_brute_force_with_very_different_region_sizes(spark):
     indexed = indexed_regions(table)
     got = G.locate(points, indexed, "id", "lat", "lon", "code", "name")
     assert {r.id: r.code for r in got.collect()} == {i: brute(lat, lon) for i, lat, lon in pts}
-    touched = G.filed_regions(indexed).groupBy("code").count()
+    touched = G.cover_index(indexed).groupBy("region_order").count()
     assert touched.agg(F.max("count")).first()[0] <= 4
     assert G.locate(points, indexed.filter("false"), "id", "lat", "lon", "c", "n").filter("c is null").count() == 800
 
 
+def _star(rng, x, y, size, n):
+    return [
+        (x + size * (0.6 + 0.4 * math.sin(14 * math.pi * k / n) + rng.uniform(-0.01, 0.01)) * math.cos(2 * math.pi * k / n),
+         y + size * (0.6 + 0.4 * math.sin(14 * math.pi * k / n)) * math.sin(2 * math.pi * k / n))
+        for k in range(n)
+    ]
+
+
+def test_cover_equals_the_ray_cast_on_every_region(spark):
+    """Many-edged, spiky and overlapping shapes with holes; points anywhere, on grid lines and on corners."""
+    rng = random.Random(2)
+    shapes = [
+        (i, [_star(rng, rng.uniform(0, 2), rng.uniform(0, 2), rng.uniform(0.01, 0.5), rng.choice([3, 5, 12, 40, 300])), _star(rng, 1, 1, 0.2, 20)])
+        for i in range(40)
+    ]
+    shapes += [(100, [[(0.0, 0.0), (1.28, 0.0), (1.28, 1.28), (0.0, 1.28), (0.0, 0.0)], [(0.32, 0.32), (0.64, 0.32), (0.64, 0.64), (0.32, 0.64)]]), (101, None)]
+    shapes.append((102, [_star(rng, 1, 1, 0.8, 3000)]))
+    kind = "region_order bigint, rings array<array<struct<x:double,y:double>>>"
+    indexed = indexed_regions(spark.createDataFrame(shapes, kind).selectExpr("region_order as code", "'n' as name", "*")).persist()
+    spots = [(rng.uniform(-0.2, 2.4), rng.uniform(-0.2, 2.4)) for _ in range(1500)] + [(i * 0.04, j * 0.04) for i in range(40) for j in range(40)]
+    spots += [p for _, rings in shapes[:10] for ring in rings for p in ring[:40]]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "id long, x double, y double").persist()
+    plain = points.join(indexed, covers(F.col("edges"), F.col("x"), F.col("y"))).select("id", "region_order")
+    cells = G.cover_index(indexed).persist()
+    size = F.lit(G.BASE_DEGREES) * F.pow(F.lit(2.0), F.col("grid_level"))
+    same = (F.floor(F.col("x") / size) == F.col("grid_x")) & (F.floor(F.col("y") / size) == F.col("grid_y"))
+    found = points.join(cells, same & covers_from(F.col("own"), F.col("ends"), F.col("odd"), F.col("x"), F.col("y"))).select("id", "region_order")
+    assert rows(found) == rows(plain) and len(rows(plain)) > 3000
+    assert cells.filter("size(own) = 0").count() > 0
+    indexed.unpersist(), points.unpersist(), cells.unpersist()
+
+
+def test_a_region_of_100000_corners(spark):
+    rng = random.Random(8)
+    ring = _star(rng, 1.0, 1.0, 1.0, 100_000)
+    table = spark.createDataFrame([(1, "big", 1, [ring])], "code long, name string, region_order long, rings array<array<struct<x:double,y:double>>>")
+    indexed = indexed_regions(table).persist()
+    cover = G.cover_index(indexed).persist()
+    stats = cover.agg(F.count("*").alias("n"), F.avg(F.size("own")).alias("edges"), F.count_if(F.size("own") == 0).alias("inside")).first()
+    assert stats.n < 20_000 and stats.edges < 100 and stats.inside > stats.n / 2
+    spots = [(i, rng.uniform(0, 2), rng.uniform(0, 2)) for i in range(150)]
+    points = spark.createDataFrame(spots, "id long, lat double, lon double")
+    got = {r.id for r in G.locate(points, indexed, "id", "lat", "lon", "c", "n", cover).collect() if r.c == 1}
+    x1, y1 = (np.array(v) for v in zip(*ring))
+    x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = {i for i, lat, lon in spots if (((y1 > lat) != (y2 > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)).sum() % 2}
+    assert got == want
+    indexed.unpersist(), cover.unpersist()
+
+
 def test_scaled_guards(spark):
     df = spark.createDataFrame([("a", 1.0, 5.0, None), ("a", 3.0, 5.0, 2.0), ("b", 7.0, 5.0, 4.0)], "g string, v double, f double, n double")
     got = S.scaled(df, {"nv": "v", "nf": "f", "nn": "n"}).orderBy("v").collect()
