@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions.hexgrid import cell_center, edge_km, key_to_id, on_globe, with_hex_key
 from sitegrain.functions.numbers import POSITION_DIGITS, steady_mean
+from sitegrain.operators.ranking import full_rank
 from sitegrain.operators.roles import explode_ids
 
 
@@ -114,3 +115,31 @@ def sum_categories(counts: DataFrame, ids: DataFrame, out_col: str) -> DataFrame
         )
     )
     return totals.filter(F.col("_hit") | empty).drop("_hit")
+
+
+def category_ordinals(places: DataFrame) -> DataFrame:
+    """(category_id, ordinal from 1) of every id that a place lists, known to the category table or not."""
+    ids = explode_ids(places.select("category_ids")).filter(F.col("category_id").isNotNull()).distinct()
+    return full_rank(ids, [F.col("category_id").asc()], out="ordinal")
+
+
+def category_bitmaps(
+    places: DataFrame, ordinals: DataFrame, unit: AreaUnit = HEX8, group_cols: tuple[str, ...] = ()
+) -> DataFrame:
+    """(area_id, groups, bucket, categories): which categories an area has, as bitmaps of 32,768 ordinals.
+
+    Bits are set map-side, so a crowded area sends one bitmap per task. Bitmaps merge: see ``distinct_categories``.
+    """
+    rows = explode_ids(with_area_key(places, unit).select("area_key", *group_cols, "category_ids"))
+    placed = rows.filter(F.col("category_id").isNotNull()).join(ordinals, "category_id")
+    return (
+        placed.groupBy("area_key", *group_cols, F.bitmap_bucket_number("ordinal").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("ordinal")).alias("categories"))
+        .select(unit.label(F.col("area_key")).alias("area_id"), *group_cols, "bucket", "categories")
+    )
+
+
+def distinct_categories(bitmaps: DataFrame, by: tuple[str, ...] = ("area_id",), out: str = "distinct_category_count") -> DataFrame:
+    """Number of different categories per group, merged from bitmaps of finer groups; places are not read again."""
+    merged = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("categories").alias("categories"))
+    return merged.groupBy(*by).agg(F.sum(F.bitmap_count("categories")).alias(out))

@@ -31,24 +31,46 @@ SEIFA_SCHEMA = (
 )
 
 
-def read_noted_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = RENT_COLUMNS) -> DataFrame:
-    """CSV whose header may follow a note line. All columns come back as text.
+def read_noted_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...] = RENT_COLUMNS) -> DataFrame:
+    """CSV files whose header may follow note lines. The ``columns`` come back as text, by their heading.
 
-    The header is found by content rather than by position, so the file can still be split.
+    A line's place in its file is the start of its split and its number there, so files are still
+    split. Per file the first line whose first cell is the first column is the header; all before it
+    are notes, whatever they hold. Each file has its own header: cells are taken by the position of
+    the heading in it, blank headings count, and a row may be of any width.
     """
-    width = len(columns)
-    lines = spark.read.text(path)
-    header = lines.filter(F.col("value").contains(columns[0])).select(
-        F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(64)))).alias("h")
-    ).limit(1)
-    names = [n.strip() if n else n for n in (header.first() or [[]])[0] or []]
-    order = [n for n in names if n]
-    if not set(columns) <= set(order):
-        raise ValueError(f"{path} has no header with {columns[:width]}")
-    schema = ", ".join(f"`{n}` string" for n in order)
-    rows = lines.select(F.from_csv("value", F.lit(schema)).alias("r"))
-    kept = rows.select(*[F.col(f"r.`{c}`").alias(c) for c in columns])
-    return kept.filter(F.col(columns[1]).isNotNull() & (F.col(columns[0]) != F.lit(columns[0])))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("at"),
+    )
+    first = F.trim(F.from_csv("value", F.lit("c string"))["c"])
+    heads = lines.filter(F.col("value").contains(columns[0])).filter(first == F.lit(columns[0]))
+    # One row per file.
+    headers = heads.groupBy("file").agg(F.min(F.struct("at", "value")).alias("h")).select(
+        "file", F.col("h.at").alias("header_at"), F.col("h.value").alias("header")
+    )
+    counts = headers.agg(F.count(F.lit(1)).alias("files"), F.max(F.size(F.split("header", ","))).alias("width")).first()
+    files = lines.select("file").distinct().count()
+    if counts.files < files or not files:
+        raise ValueError(f"{files - counts.files} of {files} files of {path} have no header that starts with {columns[0]!r}")
+    cells = F.lit(", ".join(f"c{i} string" for i in range(counts.width)))
+
+    def parsed(value: str):
+        return F.from_csv(value, cells)
+
+    names = [F.trim(F.col("names")[f"c{i}"]) for i in range(counts.width)]
+    placed = headers.withColumn("names", parsed("header")).select(
+        "file", "header_at", *[F.array_position(F.array(*[F.coalesce(n, F.lit("")) for n in names]), c).alias(f"p{i}") for i, c in enumerate(columns)]
+    )
+    missing = placed.filter(F.least(*[f"p{i}" for i in range(len(columns))], F.lit(1)) == 0).limit(1).collect()
+    if missing:
+        raise ValueError(f"{missing[0].file} has no header with {columns}")
+    rows = lines.join(placed, "file").filter(F.col("at") > F.col("header_at")).withColumn("row", parsed("value"))
+    row = F.array(*[F.col("row")[f"c{i}"] for i in range(counts.width)])
+    kept = rows.withColumn("cells", row).select(
+        *[F.get("cells", (F.col(f"p{i}") - 1).cast("int")).alias(c) for i, c in enumerate(columns)]
+    )
+    return kept.filter(F.col(columns[1]).isNotNull())
 
 
 def rent_stress_households(raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.config import BoundingBox
+from sitegrain.operators.selection import first_by_hash
 from sitegrain.operators.subset import in_bbox
 
 # Accepted physical names per canonical column, best first.
@@ -83,42 +84,26 @@ def scan_metro(
     return rows.limit(max_rows) if max_rows else rows
 
 
-_BUCKET_BITS = 18
+def capped_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "place_id", tie: Column | None = None) -> DataFrame:
+    """Exactly ``n`` rows (or all, if fewer), spread evenly and the same on every run and in every engine.
+
+    Rows are taken in the order of a seeded MD5 of their id, then of the whole row or ``tie``.
+    """
+    return first_by_hash(df, n, [id_col], seed, tie)
 
 
-def capped_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "place_id") -> DataFrame:
-    """Exactly ``n`` rows (or all, if fewer), spread evenly and the same on every run.
+def compact(spark: SparkSession, source: str | Sequence[str], path: str, target_bytes: int = 256 << 20, recursive: bool = False) -> int:
+    """Rewrite shards into files of about ``target_bytes``; returns the number of files.
 
-    Rows are ordered by a seeded hash of their id. Instead of sorting them, a histogram over
-    2**18 hash ranges finds the range in which row ``n`` falls; lower ranges pass whole and
-    only rows of that one range are ranked.
+    The number follows the sizes of the given files, which come with their rows as metadata, so
+    nothing is listed twice and many small or a few huge shards end up alike.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn(
-        "_slot", F.shiftright("_hash", 64 - _BUCKET_BITS)
-    )
-    from pyspark.sql import Window
-
-    # At most 2**18 histogram rows reach the single window task.
-    running = F.sum("n").over(Window.orderBy("_slot"))
-    cut = (
-        hashed.groupBy("_slot").agg(F.count("*").alias("n"))
-        .withColumn("before", running - F.col("n"))
-        .filter(F.col("before") < F.lit(n))
-        .agg(F.max(F.struct("_slot", "before")).alias("cut"))
-    )
-    tagged = hashed.withColumn("_cut", cut.scalar())
-    columns = df.columns
-    whole = tagged.filter(F.col("_slot") < F.col("_cut._slot")).select(*columns)
-    edge = tagged.filter(F.col("_slot") == F.col("_cut._slot")).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_slot").orderBy("_hash", id_col))
-    )
-    edge = edge.filter(F.col("_rank") <= F.lit(n) - F.col("_cut.before")).select(*columns)
-    return whole.unionByName(edge)
-
-
-def compact(df: DataFrame, path: str, files: int = 1) -> None:
-    """Rewrite shards of a small dimension into few files."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+    rows = read_parquet(spark, source, recursive)
+    sizes = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    files = max(1, -(-total // target_bytes))
+    rows.repartition(files).write.mode("overwrite").parquet(path)
+    return files
 
 
 def clean_categories(df: DataFrame) -> DataFrame:

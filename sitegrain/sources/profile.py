@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Place fields whose presence is always reported.
@@ -72,6 +72,10 @@ class Funnel:
         """Stage names with counts; call it after an action on the result."""
         return [(stage, watch.get["rows"]) for stage, watch in self._stages]
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(step, stage, rows) after the action. Each count is what the one finished action saw."""
+        return spark.createDataFrame([(i, *c) for i, c in enumerate(self.counts())], "step int, stage string, rows bigint")
+
 
 def funnel_counts(df: DataFrame, *stages: tuple[str, "F.Column"]) -> DataFrame:
     """The same funnel as a table: rows that survive the first k conditions, in one scan."""

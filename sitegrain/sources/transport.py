@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.sources.feature_lines import read_feature_lines
+
 POINT_SCHEMA = "kind string, source string, lat double, lon double, name string"
 
 # Lower-cased header names accepted per field, best first.
@@ -60,8 +62,12 @@ FEATURES = (
 
 
 def points_from_features(df: DataFrame, source: str, kind: str) -> DataFrame:
-    """Points of exploded GeoJSON features; malformed geometries drop out."""
-    each = df.select(F.explode("features").alias("f"))
+    """Points of GeoJSON features; malformed geometries drop out."""
+    return points_of(df.select(F.explode("features").alias("f")), source, kind)
+
+
+def points_of(each: DataFrame, source: str, kind: str) -> DataFrame:
+    """The same for a table of single features ``f``."""
     pair = F.from_json(F.col("f.geometry.coordinates"), "array<string>")
     rows = each.select(
         F.lit(kind).alias("kind"),
@@ -87,6 +93,12 @@ def read_points_geojson(spark: SparkSession, path: str, source: str, kind: str =
     return points_from_features(raw, source, kind)
 
 
+def read_point_lines(spark: SparkSession, path: str, source: str, kind: str = "bus_shelter") -> tuple[DataFrame, DataFrame]:
+    """(points, rejected lines) of newline-delimited features: a file is split over many tasks."""
+    good, rejects = read_feature_lines(spark, path)
+    return points_of(good, source, kind), rejects
+
+
 def combine_points(*frames: DataFrame) -> DataFrame:
     """Union by column name; columns a source lacks become nulls."""
     if not frames:

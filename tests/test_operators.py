@@ -94,6 +94,21 @@ def test_custom_rank_counts_rows_of_ids(places, cats):
     assert sorted((r.poi_count, r.competitor_count, r.complement_count) for r in got.values()) == [(1, 0, 1), (3, 2, 1)]
 
 
+def test_distinct_categories_merge_over_buckets(spark):
+    """More ids than one bitmap holds, a crowded cell, repeated and null ids."""
+    n = 70_000
+    crowd = spark.range(n).select(F.lit(-33.87).alias("lat"), F.lit(151.2).alias("lon"), F.lit("a").alias("g"),
+                                  F.array(F.concat(F.lit("c"), "id"), F.lit("c5"), F.lit(None)).alias("category_ids"))
+    few = spark.createDataFrame([(-33.5, 150.9, "a", ["c5", "new"]), (-33.5, 150.9, "b", ["c5"]), (-33.5, 150.9, "b", None)], "lat double, lon double, g string, category_ids array<string>")
+    places = crowd.union(few)
+    ordinals = A.category_ordinals(places)
+    assert rows(ordinals.agg(F.min("ordinal"), F.max("ordinal"), F.count_distinct("ordinal"))) == [(1, n + 1, n + 1)]
+    bitmaps = A.category_bitmaps(places, ordinals, group_cols=("g",))
+    assert sorted(r[-1] for r in A.distinct_categories(bitmaps).collect()) == [2, n]
+    assert rows(A.distinct_categories(bitmaps, ("g",))) == [("a", n + 1), ("b", 1)]
+    assert A.distinct_categories(A.category_bitmaps(places.limit(0), ordinals)).collect() == []
+
+
 def test_quality_rules(spark):
     df = spark.createDataFrame([(1.0, 2.0, "x", "c"), (None, 2.0, None, None)], "lat double, lon double, name string, category_id string")
     good, bad = [r.data_quality_score for r in poi_quality(df).collect()]
@@ -184,7 +199,7 @@ def test_cover_equals_the_ray_cast_on_every_region(spark):
         for i in range(40)
     ]
     shapes += [(100, [[(0.0, 0.0), (1.28, 0.0), (1.28, 1.28), (0.0, 1.28), (0.0, 0.0)], [(0.32, 0.32), (0.64, 0.32), (0.64, 0.64), (0.32, 0.64)]]), (101, None)]
-    shapes.append((102, [_star(rng, 1, 1, 0.8, 3000)]))
+    shapes.append((102, [[(1 + 0.8 * math.cos(k / 500), 1 + 0.8 * math.sin(k / 500)) for k in range(3141)]]))
     kind = "region_order bigint, rings array<array<struct<x:double,y:double>>>"
     indexed = indexed_regions(spark.createDataFrame(shapes, kind).selectExpr("region_order as code", "'n' as name", "*")).persist()
     spots = [(rng.uniform(-0.2, 2.4), rng.uniform(-0.2, 2.4)) for _ in range(1500)] + [(i * 0.04, j * 0.04) for i in range(40) for j in range(40)]

@@ -59,6 +59,69 @@ def test_noted_csv_and_rent_stress(spark, tmp_path):
     assert scored[102].rent_affordability_score is None and scored[102].rent_stress_share == 0.0
 
 
+def test_noted_csv_of_two_files_over_many_splits(spark, tmp_path):
+    """Notes with commas, blank headings, 70 columns, another order in the second file, splits of a few lines."""
+    cols = census.RENT_COLUMNS
+    head_a = [cols[0], "", *[f"x{i}" for i in range(62)], " ", *cols[1:], ""]
+    def line(head, row):
+        return ",".join(row.get(h, "z") for h in head)
+
+    data = [{c: f"{c[:4]}{i}" for c in cols} for i in range(400)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("\n".join([f"{cols[0]} notes, of a kind", "a,b,c,d,e,f", ",".join(head_a), *[line(head_a, r) for r in data[:200]]]))
+    head_b = [cols[0], *reversed(cols[1:])]
+    (tmp_path / "in" / "b.csv").write_text("\n".join([",".join(head_b), *[line(head_b, r) for r in data[200:]], "short"]))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        got = census.read_noted_csv(spark, str(tmp_path / "in"))
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 3
+        assert rows(got) == sorted((tuple(r[c] for c in cols) for r in data), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "in" / "c.csv").write_text("no header,at all\n")
+    with pytest.raises(ValueError, match="1 of 3 files"):
+        census.read_noted_csv(spark, str(tmp_path / "in"))
+
+
+def test_feature_lines_split_and_reject(spark, tmp_path):
+    good = [json.dumps({"type": "Feature", "properties": {"name": f"p{i}"}, "geometry": {"type": "Point", "coordinates": [i / 10, -i / 10]}}) for i in range(900)]
+    lines = [*good[:300], "", "  ", "{broken", "[1, 2]", "\x1e" + good[300], "plain words", *good[301:], '{"other": 1}']
+    f = tmp_path / "p.geojsonl"
+    f.write_text("\n".join(lines) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+        points, rejects = transport.read_point_lines(spark, str(f), "s")
+        assert points.rdd.getNumPartitions() > 5
+        assert sorted(r.lat for r in points.collect()) == sorted(-i / 10 for i in range(900))
+        assert sorted(r.bad for r in rejects.collect()) == sorted(["{broken", "[1, 2]", "plain words", '{"other": 1}'])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_multipolygons_round_trip(spark, tmp_path):
+    ring = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.5], [0.0, 4.0]]
+    hole, island = [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0]], [[10.5, 10.0], [11.0, 10.0], [11.0, 11.25]]
+    shapes = {1: [[ring, hole]], 2: [[ring, hole], [island]], 3: [[island], [ring], [hole]]}
+    lines = [
+        json.dumps({"type": "Feature", "properties": {"code": str(k), "name": None if k == 2 else f"n{k}"},
+                    "geometry": {"type": "Polygon", "coordinates": v[0]} if len(v) == 1 else {"type": "MultiPolygon", "coordinates": v}})
+        for k, v in shapes.items()
+    ]
+    (tmp_path / "in.geojsonl").write_text("\n".join([*lines, '{"type":"Feature","properties":{"code":"4"},"geometry":null}']))
+    table, rejects = regions.read_region_lines(spark, str(tmp_path / "in.geojsonl"), "code", "name")
+    assert rejects.count() == 0 and {r.code: r.ring_parts for r in table.collect()} == {1: [0, 0], 2: [0, 0, 1], 3: [0, 1, 2]}
+    sinks.write_geojson_lines(table, str(tmp_path / "out"), ["code", "name"])
+    back = {b["properties"]["code"]: b for b in map(json.loads, (r.value for r in spark.read.text(str(tmp_path / "out")).collect()))}
+    assert {k: b["geometry"] for k, b in back.items()} == {
+        k: {"type": "Polygon", "coordinates": v[0]} if len(v) == 1 else {"type": "MultiPolygon", "coordinates": v} for k, v in shapes.items()
+    }
+    assert back[2]["properties"] == {"code": 2, "name": None}
+    again, _ = regions.read_region_lines(spark, str(tmp_path / "out"), "code", "name")
+    assert rows(again.drop("region_order")) == rows(table.drop("region_order"))
+
+
 def test_tenure_json(spark, tmp_path):
     f = tmp_path / "t.json"
     rowsin = [

@@ -1,12 +1,16 @@
+import hashlib
+import json
+
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from sitegrain.config import SYDNEY
+from sitegrain.config import SYDNEY, BoundingBox
 from sitegrain.operators import subset as P
 from sitegrain.plans.subsets import city_places, country_places
 from sitegrain.sources import places as SP
 from sitegrain.sources.profile import Funnel, profile_markdown, schema_profile
+from sitegrain.sources.sinks import write_clustered
 
 RAW = "fsq_place_id string, name string, latitude double, longitude double, country string, fsq_category_ids array<string>"
 
@@ -86,12 +90,68 @@ def test_bbox_reaches_the_scan(spark, raw, tmp_path):
 
 def test_nested_shards_and_compaction(spark, raw, tmp_path):
     raw.repartition(3).write.parquet(str(tmp_path / "r" / "deep" / "p"))
-    shards = SP.read_parquet(spark, str(tmp_path / "r"), recursive=True)
-    SP.compact(shards, str(tmp_path / "one"))
+    assert SP.compact(spark, str(tmp_path / "r"), str(tmp_path / "one"), recursive=True) == 1
     assert len(list((tmp_path / "one").glob("*.parquet"))) == 1
     assert spark.read.parquet(str(tmp_path / "one")).count() == 3
 
 
+def test_compaction_follows_sizes(spark, tmp_path):
+    wide = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    wide.repartition(30).write.parquet(str(tmp_path / "many"))
+    given = sum(p.stat().st_size for p in (tmp_path / "many").glob("*.parquet"))
+    target = given // 3
+    assert SP.compact(spark, str(tmp_path / "many"), str(tmp_path / "few"), target) == 4
+    sizes = [p.stat().st_size for p in (tmp_path / "few").glob("*.parquet")]
+    assert len(sizes) == 4 and max(sizes) < target and min(sizes) > target // 2
+    back = spark.read.parquet(str(tmp_path / "few"))
+    assert back.exceptAll(wide).count() == 0 and back.count() == 60_000
+
+
+def test_clustered_layout_skips_row_groups(spark, tmp_path):
+    """A third of the rows sit on one spot; a box elsewhere touches few files of either partition."""
+    import pyarrow.parquet as pq
+
+    spread = F.when(F.col("id") % 3 == 0, 0.5)
+    table = spark.range(60_000).select(
+        "id", F.coalesce(spread, F.rand(1) * 100 - 50).alias("lat"), F.coalesce(spread, F.rand(2) * 100 - 50).alias("lon"), (F.col("id") % 2).alias("part")
+    )
+    write_clustered(table, str(tmp_path / "z"), ["part"], files=24)
+    box = BoundingBox(20.0, 30.0, -30.0, -20.0)
+
+    def touched(folder):
+        hits = total = 0
+        for f in folder.rglob("*.parquet"):
+            meta = pq.read_metadata(f)
+            at = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+            for g in range(meta.num_row_groups):
+                y, x = (meta.row_group(g).column(at[c]).statistics for c in ("lat", "lon"))
+                total += 1
+                hits += y.max >= box.min_lat and y.min <= box.max_lat and x.max >= box.min_lon and x.min <= box.max_lon
+        return hits, total
+
+    hits, total = touched(tmp_path / "z")
+    assert total >= 20 and hits <= total // 4
+    got = spark.read.parquet(str(tmp_path / "z"))
+    assert got.count() == 60_000
+    inside = f"lat between {box.min_lat} and {box.max_lat} and lon between {box.min_lon} and {box.max_lon}"
+    assert rows(got.filter(inside).select("id")) == rows(table.filter(inside).select("id"))
+    write_clustered(table.filter("part = 1").limit(7), str(tmp_path / "z"), ["part"], files=1)
+    assert dict(map(tuple, spark.read.parquet(str(tmp_path / "z")).groupBy("part").count().collect())) == {0: 30_000, 1: 7}
+
+
+def test_sample_of_hot_and_repeated_rows(spark):
+    """Two thirds of the rows share one id, a third is one row over and over; the order is that of the two hashes."""
+    given = [("hot", i % 300) for i in range(600)] + [("same", 1)] * 600 + [(f"p{i}", i) for i in range(300)] + [(None, 1)] * 3
+    df = spark.createDataFrame(given, "place_id string, v int").repartition(5)
+
+    def digest(text):
+        return hashlib.md5(f"{text}|42".encode()).hexdigest()
+
+    order = sorted(given, key=lambda r: (digest(r[0] or ""), digest(json.dumps({"place_id": r[0], "v": r[1]}, separators=(",", ":")))))
+    for n in (0, 1, 7, 300, 700, 1_000, 1_400, 1_503, 2_000):
+        assert sorted(map(tuple, SP.capped_sample(df, n).collect()), key=str) == sorted(order[:n], key=str)
+
+
 def test_profile(raw):
     by = {r.field: r for r in schema_profile(raw).collect()}
     assert by["latitude"].present and by["latitude"].null_count == 0

@@ -1059,3 +1059,50 @@ check(
     "score_norm) as int) as fill_r, cast(trunc(60.0::double + 160.0::double * score_norm) as int) as fill_g, "
     "cast(80 as int) as fill_b, cast(150 as int) as fill_a from s_map",
 )
+
+
+# ---- samples, bitmaps, and files written and read back ---------------------------------------
+
+
+def sampled(n: int, key: str, tie: str, shown_columns: str) -> str:
+    order = f"md5(coalesce({key}, '') || '|42'), md5(coalesce({tie}, '') || '|42')"
+    return f"select {shown_columns} from (select *, row_number() over (order by {order}) as rn from t_places) where rn <= {n}"
+
+
+check("capped_sample", sampled(5000, "place_id", "concat_ws('|', name, country, locality, region)", f"place_id, {r6('lat')} as lat, {r6('lon')} as lon"))
+check("capped_sample_hot", sampled(2000, "locality", "place_id", "place_id, locality"))
+_LISTED = "(select {}, unnest(category_ids) as category_id from t_cells) where category_id is not null group by {}"
+check("area_distinct_categories", f"select area_id, count(distinct category_id) as distinct_category_count from {_LISTED.format('area_id', 'area_id')}")
+check("country_distinct_categories", f"select country, count(distinct category_id) as distinct_category_count from {_LISTED.format('country', 'country')}")
+check(
+    "noted_csv_readback",
+    "select sa2_code_2021, sa2_name_2021 || ', AU' as sa2_name_2021, rent_stress_households, total_renting_households "
+    "from t_hh where total_renting_households > 0",
+)
+_CORNERS = []
+for part, ring, corners, shift, condition in (
+    ("0", "0", OUTLINE, 0, "true"), ("0", "1", HOLE, 0, "region_order % 3 = 0"),
+    ("1", "case when region_order % 3 = 0 then 2 else 1 end", OUTLINE, 1, "region_order % 4 = 1"),
+):
+    for corner, (fx, fy) in enumerate(corners):
+        _CORNERS.append(
+            f"select code, name, cast({part} as int) as part, cast({ring} as int) as ring, cast({corner} as int) as corner, "
+            f"{r6(f'x0 + {fx}::double * w + {shift}::double')} as x, {r6(f'y0 + {fy}::double * h')} as y from t_reg where {condition}"
+        )
+check("region_parts_readback", " union all ".join(_CORNERS))
+check(
+    "point_lines_readback",
+    "with l as (select c_custkey as k, c_name as n, '{\"type\":\"Feature\",\"properties\":{\"name\":\"' || c_name || '\"},\"geometry\":' || "
+    "case when c_custkey % 13 = 0 then 'null' else '{\"type\":\"Point\",\"coordinates\":[' || (c_custkey % 180) || ',' || (c_custkey % 90) || ']}' end "
+    "|| '}' as whole from customer) "
+    "select case when k % 7 <> 0 and k % 11 <> 0 then n end as name, case when k % 7 <> 0 and k % 11 <> 0 then cast(k % 90 as double) end as lat, "
+    "case when k % 7 <> 0 and k % 11 <> 0 then cast(k % 180 as double) end as lon, case when k % 7 = 0 then substr(whole, 1, 40) "
+    "when k % 11 = 0 then 'remark ' || k end as rejected from l where k % 7 = 0 or k % 11 = 0 or k % 13 <> 0",
+)
+CHECKS["observed_funnel"] = CHECKS["row_funnel"]
+check(
+    "clustered_readback",
+    f"select place_id, {r6('lat')} as lat, {r6('lon')} as lon, coalesce(country, 'none') as country, "
+    f"case when country = 'NZ' then 'rewritten' else locality end as locality from t_places where {box(WEST)}",
+)
+check("compacted_shards", "select country, count(*) as n, count(distinct place_id) as ids from t_places group by country")

@@ -20,6 +20,7 @@ from sitegrain.operators import subset as P
 from sitegrain.operators.features import Layers, area_features
 from sitegrain.operators.quality import area_quality, poi_quality, quality_score
 from sitegrain.operators.ranking import by_score, full_rank, top_k
+from sitegrain.operators.subset import in_bbox
 from sitegrain.plans.ranking import (
     compare_metros,
     custom_rank,
@@ -29,10 +30,15 @@ from sitegrain.plans.ranking import (
     score_templates,
     template_features,
 )
-from sitegrain.runtime import cut_lineage
+from sitegrain.runtime import cut_lineage, new_folder
 from sitegrain.sources import places as SP
-from sitegrain.sources.profile import funnel_counts, schema_profile
+from sitegrain.sources.census import RENT_COLUMNS, read_noted_csv, rent_stress_households
+from sitegrain.sources.feature_lines import SEPARATOR
+from sitegrain.sources.profile import Funnel, funnel_counts, schema_profile
+from sitegrain.sources.regions import read_region_lines
 from sitegrain.sources.sinks import features as geo_features
+from sitegrain.sources.sinks import write_clustered, write_geojson_lines
+from sitegrain.sources.transport import read_point_lines
 from workload.inputs import EAST, METROS, WEST, Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +86,21 @@ def row_funnel(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def observed_funnel(t: Inputs) -> DataFrame:
+    """The same funnel counted on the way, while one action runs over the filtered rows."""
+    funnel = Funnel()
+    kept = funnel.through(
+        funnel.mark(t.places, "input"),
+        ("country", lambda d: d.filter(F.col("country") == "AU")),
+        ("open", lambda d: d.filter(F.col("date_closed").isNull())),
+        ("unflagged", lambda d: d.filter(~P.has_bad_flag(d))),
+        ("city", lambda d: d.filter(F.col("locality") == "Sydney")),
+    )
+    kept.write.format("noop").mode("overwrite").save()
+    return funnel.table(t.spark)
+
+
 @query
 def subset_country_bbox(t: Inputs) -> DataFrame:
     parts = {
@@ -124,7 +145,96 @@ def subset_locality_strategy(t: Inputs) -> DataFrame:
 
 @query
 def capped_sample(t: Inputs) -> DataFrame:
-    return SP.capped_sample(t.places, 5000).select("place_id", "lat", "lon")
+    tie = F.concat_ws("|", "name", "country", "locality", "region")
+    return SP.capped_sample(t.places, 5000, tie=tie).select("place_id", "lat", "lon")
+
+
+@query
+def capped_sample_hot(t: Inputs) -> DataFrame:
+    """Whole localities in the order of their hash until 2000 places; one locality holds a third of all places."""
+    sample = SP.capped_sample(t.places, 2000, id_col="locality", tie=F.col("place_id"))
+    return sample.select("place_id", "locality")
+
+
+# ---- written and read back -----------------------------------------------------------------
+
+
+@query
+def noted_csv_readback(t: Inputs) -> DataFrame:
+    """Two files under notes with commas: one wide with blank headings, one with its columns in another order."""
+    c = RENT_COLUMNS
+    raw = t.raw_rent_stress
+    text = {n: F.coalesce(F.col(n), F.lit("")) for n in c} | {c[2]: F.concat(F.lit('"'), F.col(c[2]), F.lit(', AU"'))}
+    blank, filler = F.lit(""), [F.lit(f"f{i}") for i in range(62)]
+    wide = F.concat_ws(",", text[c[0]], blank, text[c[1]], blank, text[c[2]], text[c[3]], *filler, text[c[4]], text[c[5]])
+    turned = F.concat_ws(",", text[c[0]], *[text[n] for n in reversed(c[1:])])
+    second = F.pmod(F.xxhash64(c[1], c[4]), F.lit(2)) == 1
+    rows = raw.select(second.cast("int").alias("file"), F.lit(2).alias("place"), F.when(second, turned).otherwise(wide).alias("line"))
+    wide_head = ",".join([c[0], "", c[1], " ", c[2], c[3], *[f"h{i}" for i in range(62)], c[4], c[5]])
+    notes = [(0, 0, "Notes, with a comma, on GEOGRAPHY_LEVEL"), (0, 1, wide_head)]
+    notes += [(1, 0, "Other notes,,,,"), (1, 1, ",".join([c[0], *reversed(c[1:])]))]
+    top = t.spark.createDataFrame(notes, "file int, place int, line string")
+    folder = new_folder(t.spark)
+    sheets = top.union(rows).repartition("file").sortWithinPartitions("file", "place")
+    sheets.select("file", "line").write.partitionBy("file").text(folder)
+    return rent_stress_households(read_noted_csv(t.spark, folder))
+
+
+@query
+def clustered_readback(t: Inputs) -> DataFrame:
+    """Places of one box, read from a clustered layout; a second write replaces one country only."""
+    folder = new_folder(t.spark)
+    places = t.places.select("place_id", "lat", "lon", F.coalesce("country", F.lit("none")).alias("country"), "locality")
+    write_clustered(places, folder, ["country"])
+    write_clustered(places.filter("country = 'NZ'").withColumn("locality", F.lit("rewritten")), folder, ["country"])
+    return t.spark.read.parquet(folder).filter(in_bbox(WEST)).select("place_id", "lat", "lon", "country", "locality")
+
+
+@query
+def compacted_shards(t: Inputs) -> DataFrame:
+    """Places written as many small shards, compacted by size, counted per country."""
+    shards, folder = new_folder(t.spark), new_folder(t.spark)
+    t.places.select("place_id", "lat", "lon", "country").repartition(24).write.parquet(shards)
+    SP.compact(t.spark, shards, folder, target_bytes=4 << 20)
+    return t.spark.read.parquet(folder).groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place_id").alias("ids"))
+
+
+@query
+def region_parts_readback(t: Inputs) -> DataFrame:
+    """Every corner of written polygons and multipolygons, read back with its part and ring."""
+    island = F.transform(F.col("rings")[0], lambda p: F.struct((p["x"] + 1.0).alias("x"), p["y"].alias("y")))
+    two = F.col("region_order") % 4 == 1
+    zeros = F.array_repeat(F.lit(0), F.size("rings"))
+    given = t.region_rings.withColumns(
+        {
+            "ring_parts": F.when(two, F.concat(zeros, F.array(F.lit(1)))).otherwise(zeros),
+            "rings": F.when(two, F.concat("rings", F.array(island))).otherwise(F.col("rings")),
+        }
+    )
+    folder = new_folder(t.spark)
+    write_geojson_lines(given, folder, ["code", "name"])
+    regions, _ = read_region_lines(t.spark, folder, "code", "name")
+    rings = regions.select("code", "name", "ring_parts", F.posexplode("rings").alias("ring", "corners"))
+    corners = rings.select("code", "name", F.col("ring_parts")[F.col("ring")].alias("part"), "ring", F.posexplode("corners").alias("corner", "p"))
+    return corners.select("code", "name", "part", "ring", "corner", "p.x", "p.y")
+
+
+@query
+def point_lines_readback(t: Inputs) -> DataFrame:
+    """Point features one per line, some cut off, some no features, some without a place; rejects are kept apart."""
+    key = F.col("c_custkey")
+    shape = F.when(key % 13 == 0, F.lit("null")).otherwise(
+        F.concat(F.lit('{"type":"Point","coordinates":['), key % 180, F.lit(","), key % 90, F.lit("]}"))
+    )
+    whole = F.concat(F.lit('{"type":"Feature","properties":{"name":"'), F.col("c_name"), F.lit('"},"geometry":'), shape, F.lit("}"))
+    line = F.when(key % 7 == 0, F.substring(whole, 1, 40)).when(key % 11 == 0, F.concat(F.lit("remark "), key)).otherwise(whole)
+    marked = F.when(key % 3 == 0, F.concat(F.lit(SEPARATOR), line)).otherwise(line)
+    folder = new_folder(t.spark)
+    t.table("customer").select(marked.alias("value")).write.text(folder)
+    points, rejects = read_point_lines(t.spark, folder, "lines")
+    nothing = F.lit(None)
+    kept = points.select("name", "lat", "lon", nothing.cast("string").alias("rejected"))
+    return kept.unionByName(rejects.select(*[nothing.cast(k).alias(c) for c, k in (("name", "string"), ("lat", "double"), ("lon", "double"))], F.col("bad").alias("rejected")))
 
 
 # ---- categories and roles ------------------------------------------------------------------
@@ -231,6 +341,21 @@ def cell_poi_counts(t: Inputs) -> DataFrame:
     return A.cell_counts(t.core_places).areas
 
 
+@query
+def area_distinct_categories(t: Inputs) -> DataFrame:
+    """How many different categories each cell has, from bitmaps."""
+    places = t.core_places
+    return A.distinct_categories(A.category_bitmaps(places, A.category_ordinals(places)))
+
+
+@query
+def country_distinct_categories(t: Inputs) -> DataFrame:
+    """Bitmaps per cell and country, merged to countries without reading the places again."""
+    places = t.core_places
+    bitmaps = cut_lineage(A.category_bitmaps(places, A.category_ordinals(places), group_cols=("country",)))
+    return A.distinct_categories(bitmaps, ("country",))
+
+
 @query
 def category_set_counts(t: Inputs) -> DataFrame:
     counts = A.cell_counts(t.core_places).area_category_counts
