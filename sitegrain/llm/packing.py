@@ -16,6 +16,7 @@ Repeated rows are packed each on their own. An empty table gives no sequence.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -31,8 +32,8 @@ from sitegrain.runtime import cut_lineage
 LENGTH = 2048
 #: Pieces that one task packs.
 GROUP_PIECES = 50_000
-#: Distinct strings that a task remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: Distinct strings, and bytes of them, that a task remembers before it starts afresh.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64 << 20
 #: Texts encoded together: about so many bytes.
 STEP_BYTES = 4 << 20
 
@@ -40,12 +41,16 @@ STEP_BYTES = 4 << 20
 class WordEncoder:
     """Token ids of texts through a table of the white-space separated strings seen so far.
 
-    A string of letters and closing punctuation is made of the ids of both parts, as the
+    A string of plain letters and closing punctuation is made of the ids of both parts, as the
     tokenizer separates letters from punctuation in any case; so forms of a word share its work.
+    Plain letters are those of the oldest alphabets, which stay letters in any version of Unicode
+    and through the tokenizer's normal form and lower case. Other strings are encoded whole.
     """
 
     _POINTS = b".,;:!?|"
     _MARK = "\x01"
+    #: Letters below U+0500 (Latin, Greek, Cyrillic) without the one whose lower case holds a combining mark.
+    _PLAIN = re.compile(r"(?:(?![\u0130\d_])[A-Za-z\u00c0-\u02af\u0370-\u04ff])+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,6 +63,7 @@ class WordEncoder:
     def clear(self) -> None:
         """Code 0 is the empty string."""
         self.codes: dict[bytes, int] = {b"": 0}
+        self.held = 0
         self.flat, self.begins = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
     def _plain(self, text: str) -> list[int]:
@@ -66,6 +72,7 @@ class WordEncoder:
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.codes)
         self.codes.update(zip(words, range(first, first + len(words))))
+        self.held += sum(map(len, words))
         self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum(sizes)))
         self.flat = np.concatenate((self.flat, ids))
 
@@ -94,9 +101,12 @@ class WordEncoder:
         if words:
             self._add(words, np.concatenate(all_ids), np.concatenate(all_sizes))
 
+    def _plain_letters(self, text: str) -> bool:
+        return text.isalpha() and self._PLAIN.fullmatch(text) is not None
+
     def _learn(self, words: list[bytes]) -> None:
         letters = [w.rstrip(self._POINTS).lower() for w in words]
-        shaped = [x.isalpha() or (not x.isascii() and x.decode("utf-8", "replace").isalpha()) for x in letters]
+        shaped = [x.isalpha() or (not x.isascii() and self._plain_letters(x.decode("utf-8", "replace"))) for x in letters]
         bases = {x if s else w for w, x, s in zip(words, letters, shaped)}
         bases.update({w[len(x) :] for w, x, s in zip(words, letters, shaped) if s})
         self._encode_new([w for w in bases if w not in self.codes])
@@ -107,7 +117,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.codes) > REMEMBERED:
+        if len(self.codes) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.clear()
         split = [t.split() for t in texts]
         words = list(chain.from_iterable(split))

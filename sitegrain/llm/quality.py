@@ -10,9 +10,15 @@ number of rows and the integer moment sums are kept. The running sums over the b
 moments of every "nearest so many rows" subset, so no group is ever gathered or sorted, a hot
 group costs no more than the bins it fills, and the sums are exact, whatever the order of tasks.
 
-Nulls: a null text has no words and fails the base rules; null languages or sources form groups
-of their own. Repeated rows count as often as they occur. Groups below ``min_rows`` rows have no
-usable covariance: only the base rules apply to them.
+A group needs ``min_rows`` rows for a covariance of its own. A smaller one is judged by the
+estimate of the next wider group (its language, then all documents), over all rows of that group;
+the widest group judges whatever its size. ``_q_level`` says which: the number of grouping columns.
+
+Nulls: a null text has no words and fails the base rules; null languages or sources are values of
+their own. Repeated rows count as often as they occur, ties in distance share their verdict. Very
+long texts are counted whole, each as a block of its own. An empty table gives an empty result.
+Added columns start with ``_q_``; columns of the input that start so too are kept apart by
+``robust_outliers`` and ``drop_outliers``, which read only the text and the grouping columns.
 """
 
 from __future__ import annotations
@@ -32,7 +38,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 DIMS = 4
 #: Vectors are kept as integers in thousandths, so that sums of products are exact.
 UNIT = 1000
-#: Smallest scale per coordinate: deviations below it are never unusual, also where a group has no spread.
+#: Scale that every estimate gets added per coordinate, in units of the statistic: groups of texts made by one
+#: template have hardly any spread, and without it their covariance is singular and any other text an outlier.
 FLOORS = np.array([0.10, 0.15, 0.10, 0.05])
 #: Share of rows that a concentration step keeps.
 KEEP = 0.75
@@ -153,14 +160,13 @@ def _distance(center: str = "center", precision: str = "precision") -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _starts(vectors: DataFrame, min_rows: int) -> DataFrame:
+def _starts(vectors: DataFrame) -> DataFrame:
     """Two starting estimates per group: medians with median deviations, and the plain mean and covariance."""
     x = [F.col(f"_q_x{i}") for i in range(DIMS)]
     # Values are whole thousandths of bounded ranges: the exact percentile keeps a short count table.
     first = cut_lineage(
         vectors.groupBy("grp")
         .agg(*_moment_sums(), *[F.percentile(x[i], F.lit(0.5)).alias(f"m{i}") for i in range(DIMS)])
-        .filter(F.col("n") >= min_rows)
     )
     spread = vectors.join(first.select("grp", *[f"m{i}" for i in range(DIMS)]), "grp").groupBy("grp").agg(
         *[F.percentile(F.abs(x[i] - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i in range(DIMS)]
@@ -217,25 +223,58 @@ def _step(vectors: DataFrame, state: DataFrame, mode: str) -> DataFrame:
     return cut_lineage(sums.groupBy("grp", "start").applyInPandas(make, _STATE))
 
 
+def _levels(groups: tuple[str, ...]) -> list[Column]:
+    """The key of a row's group by all grouping columns, by all but the last, and so on to one for all rows."""
+    return [
+        F.concat(F.lit(f"{k}:"), group_key(*groups[:k])) if k else F.lit("0:") for k in range(len(groups), -1, -1)
+    ]
+
+
+def judges(vectors: DataFrame, levels: int, min_rows: int) -> DataFrame:
+    """(g0, grp, level): which group's estimate judges the rows of each finest group.
+
+    ``vectors`` has the keys ``g0`` (finest) to ``g{levels - 1}`` (all rows).
+    """
+    keys = [f"g{k}" for k in range(levels)]
+    sizes = cut_lineage(vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    chosen = F.struct(F.lit(0).alias("level"), F.col(keys[-1]).alias("grp"))
+    counted = sizes
+    for k in reversed(range(levels - 1)):
+        total = sizes.groupBy(keys[k]).agg(F.sum("n").alias(f"n{k}"))
+        counted = counted.join(total, keys[k])
+        chosen = F.when(F.col(f"n{k}") >= min_rows, F.struct(F.lit(levels - 1 - k).alias("level"), F.col(keys[k]).alias("grp"))).otherwise(chosen)
+    return cut_lineage(counted.select(*keys, chosen.alias("j")).select(*keys, "j.grp", "j.level"))
+
+
 def mcd_estimates(stats: DataFrame, groups: tuple[str, ...] = ("lang", "source"), min_rows: int = 50) -> DataFrame:
-    """(grp, center, precision) per group of at least ``min_rows`` rows that pass the base rules.
+    """(g0, center, precision, level) per finest group with rows that pass the base rules.
 
     ``stats`` is read once per step, so hand over a narrow table that is cheap to read.
     """
-    vectors = stats.filter(~base_failed()).select(group_key(*groups).alias("grp"), *vector())
-    state = cut_lineage(_starts(vectors, min_rows))
+    levels = _levels(groups)
+    keyed = stats.filter(~base_failed()).select(*[g.alias(f"g{k}") for k, g in enumerate(levels)], *vector())
+    judge = judges(keyed, len(levels), min_rows)
+    # A row takes part in every group around it that judges some finest group.
+    needed = judge.select("grp").distinct()
+    around = judge.select("g0", F.explode(F.array(*[f"g{k}" for k in range(len(levels))])).alias("grp")).distinct()
+    members = cut_lineage(around.join(needed, "grp", "left_semi"))
+    vectors = keyed.join(members, "g0").select("grp", *[f"_q_x{i}" for i in range(DIMS)])
+    state = cut_lineage(_starts(vectors))
     for _ in range(STEPS):
         state = _step(vectors, state, "keep")
     best = state.groupBy("grp").agg(F.min_by(F.struct("start", "center", "precision", "scale"), F.struct("logdet", "start")).alias("b"))
     state = best.select("grp", "b.*")
     state = _step(vectors, state, "scale")
-    return _step(vectors, state, "weight").select("grp", "center", "precision")
+    return judge.select("g0", "grp", "level").join(_step(vectors, state, "weight").select("grp", "center", "precision"), "grp").drop("grp")
 
 
 def with_verdict(stats: DataFrame, estimates: DataFrame, groups: tuple[str, ...] = ("lang", "source"), cut: float = CHI2_CUT) -> DataFrame:
-    """``stats`` plus ``_q_base_failed``, ``_q_distance`` (null where there is no estimate) and ``_q_kept``."""
-    own = stats.select("*", group_key(*groups).alias("_q_grp"), *vector())
-    known = estimates.select(F.col("grp").alias("_q_grp"), F.col("center").alias("_q_center"), F.col("precision").alias("_q_precision"))
+    """``stats`` plus ``_q_base_failed``, ``_q_distance``, ``_q_level`` and ``_q_kept``.
+
+    Distance and level are null in groups without a row that passes the base rules.
+    """
+    own = stats.select("*", _levels(groups)[0].alias("_q_grp"), *vector())
+    known = estimates.select(*[F.col(c).alias(f"_q_{n}") for c, n in (("g0", "grp"), ("center", "center"), ("precision", "precision"), ("level", "level"))])
     joined = own.join(known, "_q_grp", "left")
     distance = F.when(F.col("_q_center").isNotNull(), F.sqrt(_distance("_q_center", "_q_precision")))
     return (

@@ -39,6 +39,7 @@ def op1_mcd_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(
         "doc_id", *[F.col(f"_q_{c}").alias(c) for c in counts], F.col("_q_base_failed").alias("base_failed"),
         F.col("_q_kept").alias("kept"), F.col("_q_distance").alias("distance"),
+        F.col("_q_level").alias("level"),
     )
 
 

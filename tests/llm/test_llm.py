@@ -66,6 +66,65 @@ def test_outliers_are_rejected_and_clean_rows_stay(spark):
     assert {r.doc_id for r in rows if not r._q_kept} == {b[0] for b in bad}
 
 
+def plain_mcd(x):
+    """Squared distances of the rows of ``x`` (thousandths) from the robust estimate of all of them, with numpy alone."""
+    x = np.asarray(x, float) / 1000
+    floor, keep = np.diag([0.10**2, 0.15**2, 0.10**2, 0.05**2]), 0.75
+
+    def squared(center, cov):
+        d = x - center
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+
+    def moments(rows):
+        return rows.mean(axis=0), np.cov(rows.T, bias=True)
+
+    median = np.median(x, axis=0)
+    spread = 1.4826 * np.median(np.abs(x - median), axis=0)
+    found = []
+    for center, cov in (moments(x), (median, np.diag(spread**2))):
+        cov = cov + floor
+        for _ in range(4):
+            bins = np.floor(np.log1p(squared(center, cov)) * 40)
+            # The nearest three quarters, and whoever shares the last bin with them.
+            last = np.sort(bins)[int(np.ceil(keep * len(x))) - 1]
+            center, cov = moments(x[bins <= last])
+            cov = cov + floor
+        found.append((np.linalg.slogdet(cov)[1], center, cov))
+    _, center, cov = min(found, key=lambda f: f[0])
+    d = squared(center, cov)
+    bins = np.floor(np.log1p(d) * 40)
+    edge = np.expm1((np.sort(bins)[int(np.ceil(keep * len(x))) - 1] + 1) / 40)
+    cov = (cov - floor) * max(1.0, edge / 5.385269) + floor
+    bins = np.floor(np.log1p(squared(center, cov)) * 40)
+    near = np.expm1((bins + 1) / 40) <= 11.143287
+    center, cov = moments(x[near if near.any() else bins == bins.min()])
+    return squared(center, cov + floor)
+
+
+def test_distances_equal_a_plain_estimate_at_every_level(spark, docs):
+    """All documents of a language, of one large source, and of a table too small for either."""
+    table = docs.select("doc_id", "text", "lang", F.when(F.col("doc_id") % 3 == 0, F.lit("big")).otherwise(F.col("source")).alias("source"))
+    rows = {r.doc_id: r for r in quality.robust_outliers(table, min_rows=20).collect()}
+    stats = quality.with_statistics(table).select("doc_id", "lang", "source", quality.base_failed().alias("bad"), *quality.vector()).collect()
+    good = [r for r in stats if not r.bad]
+    x = {r.doc_id: [r[f"_q_x{i}"] for i in range(4)] for r in stats}
+    sizes = collections.Counter((r.lang, r.source) for r in good)
+    langs = collections.Counter(r.lang for r in good)
+    known = {}
+    for r in good:
+        level = 2 if sizes[r.lang, r.source] >= 20 else 1 if langs[r.lang] >= 20 else 0
+        judge = (r.lang, r.source)[:level]
+        if judge not in known:
+            group = [q.doc_id for q in good if (q.lang, q.source)[:level] == judge]
+            known[judge] = dict(zip(group, np.sqrt(plain_mcd([x[i] for i in group]))))
+        row, distance = rows[r.doc_id], known[judge][r.doc_id]
+        assert row._q_level == level and row._q_kept == (distance <= 23.512742**0.5)
+        assert abs(row._q_distance - distance) < 1e-6 * (1 + distance)
+    assert {len(judge) for judge in known} == {0, 1, 2}
+    few = quality.robust_outliers(table.filter("doc_id < 7")).collect()
+    assert {r._q_level for r in few if not r._q_base_failed} == {0} and all(r._q_distance is not None for r in few if not r._q_base_failed)
+
+
 def test_shards(spark, docs):
     placed = sharding.assign_shards(docs, "doc_id", [1.0] * 40, [1.0] * 41)
     rows = placed.collect()
@@ -100,6 +159,25 @@ def test_packing_round_trip(docs, texts):
     assert len(room) <= -(-sum(r.length for r in packed) // 2048) + 12
 
 
+def test_word_ids_equal_the_tokenizer_on_letters_of_all_kinds():
+    """Letters that change under the normal form or lower case, newer letters, combining marks, closing punctuation."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    rng = random.Random(3)
+    special = "\u0130\u0958\u095c\u0344\u0387\u1e9e\ufb01\u01c5\u0345\u2126\u212b\u0300\u1c90\ua7c2\u03a3\u00df\u0149"
+    letters = [chr(c) for c in range(0x250, 0x2FFFF) if chr(c).isalpha()]
+    low = [chr(c) for c in range(0x41, 0x600) if chr(c).isalpha()]
+    texts = ["\u0130.", "\u0958.", "\u03a3\u03a3!", "\u0149?"] + [chr(c) + "." for c in range(0x80, 0x600)]
+    for _ in range(4_000):
+        words = ["".join(rng.choice(rng.choice([special, letters, low, "abc", "abc"])) for _ in range(rng.randrange(1, 6))) for _ in range(3)]
+        texts.append(" ".join(w + rng.choice(["", ".", ",", "!?", "|", "'s", "\u0301."]) for w in words))
+    got = packing.WordEncoder(public_tokenizers.path(TOKENIZER)).encode([x.encode() for x in texts])
+    assert [g.tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_simhash_components(docs, texts):
     want = {}
     for i, t in texts.items():
