@@ -35,6 +35,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+class Shielded:
+    """A table under neutral column names, so that an operator's own columns clash with none of its."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def of(self, name: str) -> str:
+        """The neutral name of a column."""
+        return f"c{self.names.index(name)}"
+
+    def back(self, out: DataFrame) -> DataFrame:
+        """``out`` under the given names again. A given column named like an added one gives way to it."""
+        own = {f"c{i}": n for i, n in enumerate(self.names) if f"c{i}" in out.columns}
+        added = [c for c in out.columns if c not in own]
+        given = [F.col(c).alias(n) for c, n in own.items() if n not in added]
+        return out.select(*given, *[F.col(c) for c in added])
+
+
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit mixing step (the finaliser of SplitMix64)."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & (2**64 - 1))

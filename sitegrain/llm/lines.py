@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import group_key
+from sitegrain.llm.common import Shielded, group_key
 from sitegrain.runtime import cut_lineage
 
 MAX_RATIO = 0.1
@@ -56,22 +56,23 @@ def boilerplate(pages: DataFrame, text: str = "text", site: str = "source", max_
 
 def drop_boilerplate(pages: DataFrame, text: str = "text", site: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``text`` cleaned, plus ``_l_lines`` and ``_l_dropped``."""
-    found = cut_lineage(boilerplate(pages, text, site, max_ratio, min_pages))
+    shield = Shielded(pages)
+    text, site = shield.of(text), shield.of(site)
+    found = cut_lineage(boilerplate(shield.df, text, site, max_ratio, min_pages))
     size = found.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
     if size <= BROADCAST_LINES:
         found = F.broadcast(found)
-    joined = pages.withColumn("_site", group_key(site)).join(found, "_site", "left")
-    lines = _lines(F.col(f"`{text}`"))
+    joined = shield.df.withColumn("_site", group_key(site)).join(found, "_site", "left")
+    lines = _lines(F.col(text))
     left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), line_key(x)), F.lit(False)))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(left)
-    own = [F.col(f"`{c}`") if c != text else F.array_join("_kept", "\n").alias(c) for c in pages.columns]
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    out = joined.withColumn("_kept", F.when(F.col(f"`{text}`").isNotNull(), kept))
-    n = F.when(F.col(f"`{text}`").isNotNull(), F.size(lines)).otherwise(0).cast("long")
-    return out.select(
+    own = [F.col(c) if c != text else F.array_join("_kept", "\n").alias(c) for c in shield.df.columns]
+    out = joined.withColumn("_kept", F.when(F.col(text).isNotNull(), kept))
+    n = F.when(F.col(text).isNotNull(), F.size(lines)).otherwise(0).cast("long")
+    return shield.back(out.select(
         *own, n.alias("_l_lines"),
         F.when(F.col("_kept").isNotNull(), n - F.size("_kept")).otherwise(0).cast("long").alias("_l_dropped"),
-    )
+    ))
 
 
 def sql(table: str = "documents", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:

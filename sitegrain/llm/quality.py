@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import blocks, gram_hashes, group_key, word_hashes, word_spans
+from sitegrain.llm.common import Shielded, blocks, gram_hashes, group_key, word_hashes, word_spans
 from sitegrain.runtime import cut_lineage
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -287,8 +287,10 @@ def with_verdict(stats: DataFrame, estimates: DataFrame, groups: tuple[str, ...]
 
 def robust_outliers(docs: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), min_rows: int = 50) -> DataFrame:
     """One row per document without its text: its counts, distance and verdict under ``_q_...``."""
-    stats = cut_lineage(with_statistics(docs, text, drop_text=True))
-    return with_verdict(stats, mcd_estimates(stats, groups, min_rows), groups)
+    shield = Shielded(docs)
+    text, groups = shield.of(text), tuple(shield.of(g) for g in groups)
+    stats = cut_lineage(with_statistics(shield.df, text, drop_text=True))
+    return shield.back(with_verdict(stats, mcd_estimates(stats, groups, min_rows), groups))
 
 
 def drop_outliers(docs: DataFrame, text: str = "text", groups: tuple[str, ...] = ("lang", "source"), min_rows: int = 50) -> DataFrame:
@@ -297,7 +299,9 @@ def drop_outliers(docs: DataFrame, text: str = "text", groups: tuple[str, ...] =
     Counts are computed again beside each text instead of being joined back by an id, which may
     be null or repeated.
     """
-    narrow = cut_lineage(with_statistics(docs.select(text, *groups), text, drop_text=True))
+    shield = Shielded(docs)
+    text, groups = shield.of(text), tuple(shield.of(g) for g in groups)
+    narrow = cut_lineage(with_statistics(shield.df.select(text, *groups), text, drop_text=True))
     estimates = mcd_estimates(narrow, groups, min_rows)
-    judged = with_verdict(with_statistics(docs, text), estimates, groups)
-    return judged.filter("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = with_verdict(with_statistics(shield.df, text), estimates, groups)
+    return shield.back(judged.filter("_q_kept").select(*shield.df.columns))

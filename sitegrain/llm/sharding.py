@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegrain.llm.common import Shielded
 from sitegrain.runtime import cut_lineage
 
 _PART_BITS = 33
@@ -53,11 +54,12 @@ def with_slots(df: DataFrame, shard: str, out: str) -> DataFrame:
 
 def assign_shards(docs: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
     """``docs`` with ``_s_shard``, ``_s_slot`` and, for a second shard list, ``_s_grown``."""
-    k = F.col(f"`{key}`")
-    placed = docs.withColumn("_s_shard", rendezvous(k, weights))
+    shield = Shielded(docs)
+    k = F.col(shield.of(key))
+    placed = shield.df.withColumn("_s_shard", rendezvous(k, weights))
     if grown is not None:
         placed = placed.withColumn("_s_grown", rendezvous(k, grown))
-    return with_slots(placed, "_s_shard", "_s_slot")
+    return shield.back(with_slots(placed, "_s_shard", "_s_slot"))
 
 
 def size_of(text: Column, overhead: int = 16) -> Column:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.llm.common import Shielded
 from sitegrain.llm.components import components
 from sitegrain.runtime import cut_lineage
 
@@ -216,6 +217,8 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     The decision is joined back by the key of the whole row, so ids may be null or repeated.
     """
+    shield = Shielded(docs)
+    docs, doc_id, text = shield.df, shield.of(doc_id), shield.of(text)
     key = row_key(docs.columns)
     prints = cut_lineage(with_fingerprints(docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`"), *key), text, shingle))
     rows = prints.groupBy("_ka", "_kb", "_fp", "_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -230,6 +233,6 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     kept = keyed.join(marks, ["_ka", "_kb"], "left_anti").drop("_ka", "_kb")
     again = marks.filter("_wins")
     if again.isEmpty():
-        return kept
+        return shield.back(kept)
     once = keyed.join(again.select("_ka", "_kb"), ["_ka", "_kb"], "left_semi").dropDuplicates(["_ka", "_kb"]).drop("_ka", "_kb")
-    return kept.unionByName(once)
+    return shield.back(kept.unionByName(once))

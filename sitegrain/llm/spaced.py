@@ -117,7 +117,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[lis
     n = 1 + total // BLOCK_BYTES
     for i in range(n):
         rows = own.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == i).collect()
-        rows.sort(key=lambda r: (r["id"] is None, r["id"] or 0, bytes(r["t"])))
+        rows.sort(key=lambda r: (r["id"] is not None, r["id"], bytes(r["t"])))
         yield [r["id"] for r in rows], [bytes(r["t"]) for r in rows]
 
 

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.llm.common import Shielded
+
 WORDS = 8
 #: Listed URLs per block of 512 bits: 32 bits for each.
 PER_BLOCK = 16
@@ -120,8 +122,10 @@ def with_listed(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFr
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFrame:
     """``pages`` with ``_u_host``, ``_u_path``, ``_u_rule``, ``_u_verdict`` and the two list columns."""
-    u = F.col(f"`{url}`")
-    seen = with_listed(pages, listed, url).withColumns({"_u_host": host_of(u), "_u_path": path_of(u)})
+    shield = Shielded(pages)
+    url = shield.of(url)
+    u = F.col(url)
+    seen = with_listed(shield.df, listed, url).withColumns({"_u_host": host_of(u), "_u_path": path_of(u)})
     name, verdict = matching_rule(F.col("_u_host"), F.col("_u_path"), rules)
     own = F.when(F.col("_u_listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return seen.withColumns({"_u_rule": name, "_u_verdict": F.coalesce(verdict, own)})
+    return shield.back(seen.withColumns({"_u_rule": name, "_u_verdict": F.coalesce(verdict, own)}))

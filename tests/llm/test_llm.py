@@ -261,6 +261,30 @@ def test_long_repeats_are_found(docs, texts):
     assert all(r.similarity >= 0.8 and r.words >= 50 for r in rows)
 
 
+def test_recall_of_near_passages(spark):
+    """Passages of 60 words with one word replaced, inserted or left out, each pair on its own in unlike texts."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows, n = [], 240
+    for i in range(n):
+        passage = [word() for _ in range(60)]
+        near, at = list(passage), rng.randrange(60)
+        if i % 3 == 0:
+            near[at] = word()
+        elif i % 3 == 1:
+            near.insert(at, word())
+        else:
+            del near[at]
+        for k, p in enumerate((passage, near)):
+            rows.append((2 * i + k, " ".join([word() for _ in range(rng.randrange(30, 90))] + p + [word() for _ in range(rng.randrange(30, 90))])))
+    found = windows.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {tuple(sorted((r.doc_id, r.partner_id))) for r in found}
+    assert all(a // 2 == b // 2 for a, b in pairs)
+    assert len(pairs) >= 0.9 * n, len(pairs) / n
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(2)
     values = np.concatenate(([0], rng.permutation(1 << 12)[:300] + 1)).astype(np.uint64) << np.uint64(40)
@@ -319,6 +343,41 @@ def test_awkward_and_empty_tables(spark, name):
     assert OPERATORS[name](odd.limit(0)).collect() == []
 
 
+CLASHING = ("_at", "_site", "_drop", "_kept", "_canon", "_key", "_block", "_w0", "_n", "_ka", "_fp", "_id", "_row", "_part", "_shard", "_q_grp", "root", "grp")
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_clashing_names_change_nothing(spark, name):
+    """Columns named like an operator's own: same rows, and operators that hand on the input keep them."""
+    plain = spark.createDataFrame(odd_rows(), DOCS).drop("_x0", "n")
+    more = plain.withColumns({c: F.lit("mine") for c in CLASHING})
+    got, want = OPERATORS[name](more), OPERATORS[name](plain)
+    shared = [c for c in want.columns if c not in CLASHING]
+    assert sorted(map(str, got.select(*shared).collect())) == sorted(map(str, want.select(*shared).collect()))
+    if name in ("op1 drop", "op2", "op4", "op6 keep", "op7"):
+        assert all(r[c] == "mine" for r in got.collect() for c in CLASHING)
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path, number):
+    """Every stage takes nulls, blanks, long texts, repeated rows, clashing columns and an empty table."""
+    name, stage = corpus_pipeline.STAGES[number]
+    odd = spark.createDataFrame(odd_rows(), DOCS).withColumns({c: F.lit("mine") for c in CLASHING})
+    out = stage(spark, odd, SMALL)
+    rows = out.collect()
+    if name != "best-fit packing":
+        assert out.columns == odd.columns and all(r["_site"] == "mine" for r in rows)
+    assert len(rows) == {"quality rules": 3, "line dedup": 8, "SimHash near-dedup": 3, "benchmark decontamination": 8}.get(name, len(rows))
+    assert stage(spark, odd.limit(0), SMALL).collect() == []
+
+
+def test_benchmark_ids_of_any_kind(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    table = spark.createDataFrame([("a", item)], "doc_id string, text string")
+    items = spark.createDataFrame([("", item), (None, item), ("b", item)], "item_id string, text string")
+    assert sorted(str(r.item_id) for r in spaced.contaminated(table, items).collect()) == ["", "None", "b"]
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
