@@ -1,37 +1,44 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks pick some word positions out of a window and ignore the others, so a seed still
-matches when an ignored word was replaced. The test items' seed hashes meet the training words in
-each scan task: a bit table sorts out almost all positions, a sorted table confirms the rest, and
-around every hit the item and the text are compared word by word along their common diagonal. The
-stretch with the highest score (+1 for an equal word, -4 for a replaced one, so at least four of
-five words are equal) must have ``min_words`` equal words.
-
-Items are handled in blocks of about ``BLOCK_BYTES`` of item text, the only data sent to the
-tasks; a larger benchmark takes more passes over the corpus. Nothing is shuffled, and a passage
-that many documents share costs each of them the same.
+matches when an ignored word was replaced. The seed hashes of the test items and of the training
+texts meet in a Spark join; every (text, item) pair with an equal seed is then compared word by
+word along the diagonals of its seeds. A stretch scores +1 for an equal word and -4 for a replaced
+one, so at least four of five words are equal, and must have ``min_words`` equal words. All such
+stretches are returned; of two that overlap in the text, the one with more equal words, then the
+first, then the shorter.
+
+Before the join a bit table of all item seeds, of at most ``2 ** MAX_BITS`` bits, sorts out almost
+all training seeds inside the scan, so what is shuffled grows with the overlaps, not with the
+corpus. A larger benchmark fills the table and more seeds reach the join; results stay the same.
+Equal texts and equal items are one each until the last join; keys are dealt to ``SPLIT`` tasks,
+and one task compares a text with at most about ``GROUP`` items at a time. Hits are held as one flag per diagonal.
 
 Nulls: null texts and items have no words; null ids are carried. Items or texts with fewer than
-``min_words`` words match nothing. Repeated rows are judged each. A-Z count as a-z.
+``min_words`` words match nothing. Repeated rows are judged each. Very long texts are compared
+whole. An empty table on either side gives no overlaps. Ids may be of any type and extra columns
+have any names. A-Z count as a-z.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import blocks, mixed, table_of, word_hashes, word_spans
+from sitegrain.llm.common import Shielded, blocks, mixed, table_of, word_hashes, word_spans, written
 
 #: Kept positions of each mask; the gaps are ignored.
 MASKS = ((0, 1, 2, 4, 6), (0, 1, 3, 5, 6, 7), (0, 2, 3, 4, 7, 8))
 MIN_WORDS = 10
 MISMATCH = 4
-BLOCK_BYTES = 4 << 20
-_BITS = 22
+MAX_BITS = 27
+SPLIT = 8
+GROUP = 1_000
 
 
 def seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
@@ -45,40 +52,6 @@ def seeds(words: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     return mixed(total, number + 1)
 
 
-class SeedIndex:
-    """The words and seed hashes of one block of items."""
-
-    def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        starts, ends, owner = word_spans(data, offsets)
-        self.words = word_hashes(data, starts, ends)
-        self.first = np.searchsorted(owner, np.arange(len(texts) + 1))
-        keys, places = [], []
-        for number, mask in enumerate(MASKS):
-            k = seeds(self.words, mask, number)
-            at = np.flatnonzero(owner[: k.size] == owner[mask[-1] :]) if k.size else np.zeros(0, np.int64)
-            keys.append(k[at]), places.append(at)
-        keys, places = np.concatenate(keys), np.concatenate(places)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.places, self.owner = keys[order], places[order], owner
-        self.seen = np.zeros(1 << _BITS, dtype=bool)
-        self.seen[self.keys >> np.uint64(64 - _BITS)] = True
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word position, item word position) of all equal seeds."""
-        mine, theirs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for number, mask in enumerate(MASKS):
-            k = seeds(words, mask, number)
-            at = np.flatnonzero(self.seen[k >> np.uint64(64 - _BITS)])
-            low, high = np.searchsorted(self.keys, k[at], "left"), np.searchsorted(self.keys, k[at], "right")
-            n = high - low
-            at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            mine.append(np.repeat(at, n))
-            theirs.append(self.places[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)])
-        return np.concatenate(mine), np.concatenate(theirs)
-
-
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     """(start, length, equal words) of the stretch with the highest score, the longest one that ends first."""
     sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -MISMATCH))))
@@ -88,87 +61,174 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
-def overlaps(words: np.ndarray, owner: np.ndarray, index: SeedIndex, min_words: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text number, item number, start word, words, equal words): the best overlap of each text with each item."""
-    mine, theirs = index.hits(words)
-    if not mine.size:
-        return
-    item, text = index.owner[theirs], owner[mine]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    seen = np.unique(np.stack([text, item, mine - theirs], axis=1), axis=0)
-    for t, i, diagonal in seen.tolist():
-        low, high = np.searchsorted(owner, [t, t + 1])
-        first, last = index.first[i], index.first[i + 1]
-        a, b = max(first, low - diagonal), min(last, high - diagonal)
-        if b - a < min_words:
+def stretches(equal: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int]]:
+    """The best stretch, then those of what lies before and behind it, as far as they have ``min_words`` equal words."""
+    open_ = [(0, equal.size)]
+    while open_:
+        low, high = open_.pop()
+        if high - low < min_words or int(equal[low:high].sum()) < min_words:
             continue
-        start, length, equal = best_stretch(index.words[a:b] == words[a + diagonal : b + diagonal])
-        key, value = (t, i), (equal, -(a + diagonal + start - int(low)), -length)
-        if equal >= min_words and value > found.get(key, (0, 0, 0)):
-            found[key] = value
-    for (t, i), (equal, start, length) in sorted(found.items()):
-        yield t, i, -start, -length, equal
+        start, length, n = best_stretch(equal[low:high])
+        if n >= min_words:
+            yield low + start, length, n
+            open_ += [(low, low + start), (low + start + length, high)]
+
 
+class Text:
+    """One text's words and its seeds in order of their hashes."""
 
-def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list, list[bytes]]]:
-    """The items, a bounded block at a time."""
-    own = items.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("t")).filter("t is not null")
-    total = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
-    n = 1 + total // BLOCK_BYTES
-    for i in range(n):
-        rows = own.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == i).collect()
-        rows.sort(key=lambda r: (r["id"] is not None, r["id"], bytes(r["t"])))
-        yield [r["id"] for r in rows], [bytes(r["t"]) for r in rows]
+    def __init__(self, words: np.ndarray):
+        self.words, self.sorted = words, []
+        for number, mask in enumerate(MASKS):
+            keys = seeds(words, mask, number)
+            order = np.argsort(keys, kind="stable")
+            self.sorted.append((keys[order], order))
+
+    def diagonals(self, item: np.ndarray) -> np.ndarray:
+        """All (text position - item position) at which a seed is equal. One flag per diagonal, however many seeds hit it."""
+        hit = np.zeros(self.words.size + item.size, dtype=bool)
+        for number, (mask, (keys, order)) in enumerate(zip(MASKS, self.sorted)):
+            own = seeds(item, mask, number)
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            for j in np.flatnonzero(high > low).tolist():
+                hit[order[low[j] : high[j]] - j + item.size] = True
+        return np.flatnonzero(hit) - item.size
+
+    def overlaps(self, item: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+        """(start, words, equal words) of the stretches shared with ``item``; no two overlap in the text."""
+        found = []
+        for d in self.diagonals(item).tolist():
+            a, b = max(0, -d), min(item.size, self.words.size - d)
+            if b - a >= min_words:
+                for start, length, n in stretches(item[a:b] == self.words[a + d : b + d], min_words):
+                    found.append((-n, a + d + start, length))
+        taken: list[tuple[int, int]] = []
+        out = []
+        for n, start, length in sorted(found):
+            at = bisect_left(taken, (start, 0))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= start + length):
+                insort(taken, (start, start + length))
+                out.append((start, length, -n))
+        return sorted(out)
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, data.size]))
+    return word_hashes(data, starts, ends)
+
+
+def _keyed(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with (ta, tb, text): 128 hash bits of the text's bytes, and the bytes. Rows without a text go."""
+    raw = F.col(f"`{text}`").cast("binary")
+    own = [F.col(f"`{c}`") for c in df.columns if c != text]
+    return df.filter(raw.isNotNull()).select(*own, F.xxhash64(raw).alias("ta"), F.xxhash64(F.lit("t"), raw).alias("tb"), raw.alias("text"))
+
+
+def _emit_seeds(min_words: int, seen: np.ndarray | None = None, bits: int = 0):
+    """(ta, tb, k) for the different seeds of every text of ``min_words`` words; those in the bit table only, if there is one."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ta, tb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ta", "tb"))
+            for first, _, data, offsets in blocks(b, "text"):
+                starts, ends, owner = word_spans(data, offsets)
+                words = word_hashes(data, starts, ends)
+                long = np.bincount(owner, minlength=offsets.size - 1) >= min_words
+                texts, keys = [], []
+                for number, mask in enumerate(MASKS):
+                    k = seeds(words, mask, number)
+                    if not k.size:
+                        continue
+                    ok = (owner[: k.size] == owner[mask[-1] :]) & long[owner[: k.size]]
+                    if seen is not None:
+                        slot = k >> np.uint64(64 - bits)
+                        ok &= (seen[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    texts.append(owner[: k.size][ok]), keys.append(k[ok])
+                if texts:
+                    t, k = np.concatenate(texts), np.concatenate(keys)
+                    order = np.lexsort((k, t))
+                    t, k = t[order], k[order]
+                    new = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))[: t.size]
+                    at = t[new] + first
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ta[at]), pa.array(tb[at]), pa.array(k[new].view(np.int64))], names=["ta", "tb", "k"]
+                    )
+
+    return emit
+
+
+_SEEDS = "ta long, tb long, k long"
+
+
+def _bit_table(item_seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """(words of 64 bits, log2 of the bits) of a table of the seeds' first bits, about sixteen bits a seed and ``MAX_BITS`` at most."""
+    n = item_seeds.count()
+    bits = min(MAX_BITS, max(16, (16 * n).bit_length()))
+    slot = F.shiftrightunsigned("k", 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    rows = item_seeds.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(one).alias("w")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[rows["at"].to_numpy(np.int64)] = rows["w"].to_numpy(np.int64)
+    return table.view(np.uint64), bits
+
+
+def _compare(min_words: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ta, tb, text, items in zip(*(b.column(c) for c in ("ta", "tb", "text", "items"))):
+                whole, rows = Text(_hashes(text.as_py())), []
+                for item in items.values:
+                    ia, ib, words = (item[c].as_py() for c in ("ia", "ib", "text"))
+                    rows += [(ta.as_py(), tb.as_py(), ia, ib, *o) for o in whole.overlaps(_hashes(words), min_words)]
+                if rows:
+                    kinds = [pa.int64()] * 7
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=_LINK)
+
+    return compare
+
+
+_LINK = ["ta", "tb", "ia", "ib", "start", "words", "equal"]
+
+
+def text_overlaps(texts: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(ta, tb, ia, ib, start, words, equal) over the different texts and items, both keyed by ``_keyed``."""
+    narrow = ["ta", "tb", "text"]
+    items = written(items.groupBy("ta", "tb").agg(F.min("text").alias("text")))
+    item_seeds = written(items.select(*narrow).mapInArrow(_emit_seeds(min_words), _SEEDS))
+    seen, bits = _bit_table(item_seeds)
+    salt: Column = F.pmod(F.xxhash64("ta", "tb"), F.lit(SPLIT)).cast("int")
+    hits = texts.select(*narrow).mapInArrow(_emit_seeds(min_words, seen, bits), _SEEDS).distinct().withColumn("salt", salt)
+    theirs = item_seeds.select("k", F.col("ta").alias("ia"), F.col("tb").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("salt"))
+    pairs = written(hits.join(theirs, ["k", "salt"]).select("ta", "tb", "ia", "ib").distinct())
+    size = pairs.groupBy("ta", "tb").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
+    named = items.select(F.col("ta").alias("ia"), F.col("tb").alias("ib"), "text")
+    grouped = (
+        pairs.join(size, ["ta", "tb"])
+        .join(named, ["ia", "ib"])
+        .groupBy("ta", "tb", F.pmod(F.xxhash64("ia", "ib"), F.col("groups")).alias("part"))
+        .agg(F.collect_list(F.struct("ia", "ib", "text")).alias("items"))
+    )
+    held = texts.select(*narrow).join(size.select("ta", "tb"), ["ta", "tb"], "left_semi").groupBy("ta", "tb").agg(F.min("text").alias("text"))
+    kinds = ", ".join(f"{c} long" for c in _LINK)
+    return written(held.join(grouped, ["ta", "tb"]).select("ta", "tb", "text", "items").mapInArrow(_compare(min_words), kinds))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
                  item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, start, words, equal): every document with every item that it overlaps."""
-    spark = docs.sparkSession
-    kinds = docs.select(F.col(f"`{doc_id}`").alias("doc_id")).schema.add("item_id", items.schema[item_id].dataType)
-    for c in ("start", "words", "equal"):
-        kinds = kinds.add(c, "long")
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    out = spark.createDataFrame([], kinds)
-    for ids, texts in item_blocks(items, item_id, item_text):
-        names, index = pa.array(ids, _arrow(items, item_id)), SeedIndex(texts)
-
-        def find(batches: Iterator[pa.RecordBatch], names=names, index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = []
-                for first, _, data, offsets in blocks(b, "text"):
-                    starts, ends, owner = word_spans(data, offsets)
-                    for t, *rest in overlaps(word_hashes(data, starts, ends), owner, index, min_words):
-                        rows.append((t + first, *rest))
-                at, item, *rest = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(at), names.take(item), *rest], names=["doc_id", "item_id", "start", "words", "equal"]
-                )
-
-        out = out.union(narrow.mapInArrow(find, kinds))
-    return out
-
-
-def _arrow(df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, item_id, start, words, equal): every overlap of every document with every item."""
+    mine = _keyed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text")
+    theirs = _keyed(items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")), "text")
+    links = text_overlaps(mine, theirs, min_words)
+    names = theirs.select("item_id", F.col("ta").alias("ia"), F.col("tb").alias("ib"))
+    return mine.drop("text").join(links, ["ta", "tb"]).join(names, ["ia", "ib"]).select("doc_id", "item_id", "start", "words", "equal")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents that overlap no item, in their own columns."""
-    out = docs
-    for _, texts in item_blocks(items, item_id, item_text):
-        index = SeedIndex(texts)
-
-        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, dtype=bool)
-                for first, _, data, offsets in blocks(b, text):
-                    starts, ends, owner = word_spans(data, offsets)
-                    for t, *_ in overlaps(word_hashes(data, starts, ends), owner, index, min_words):
-                        keep[first + t] = False
-                yield b.filter(pa.array(keep))
-
-        out = out.mapInArrow(clean, out.schema)
-    return out
+    shield = Shielded(docs)
+    own = F.coalesce(F.col(shield.of(text)), F.lit("")).cast("binary")
+    mine = _keyed(shield.df.select(F.col(shield.of(text)).alias("text")), "text")
+    bad = text_overlaps(mine, _keyed(items.select(F.col(f"`{item_text}`").alias("text")), "text"), min_words).select("ta", "tb").distinct()
+    marked = shield.df.withColumns({"ta": F.xxhash64(own), "tb": F.xxhash64(F.lit("t"), own)})
+    return shield.back(marked.join(bad, ["ta", "tb"], "left_anti").drop("ta", "tb"))

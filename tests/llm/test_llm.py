@@ -230,6 +230,59 @@ def test_spaced_seeds_tolerate_substitutions(spark):
     assert {r.doc_id for r in spaced.drop_contaminated(table, bench).collect()} == {3, 4, 5}
 
 
+def plain_overlaps(text, item, least):
+    """Overlaps of two word lists by comparing every alignment that holds a mask, with plain loops."""
+    found = []
+    for d in range(-len(item) + 1, len(text)):
+        same = {j: text[j + d] == item[j] for j in range(len(item)) if 0 <= j + d < len(text)}
+        if not any(all(same.get(j + o, False) for o in m) and j + m[-1] in same for m in spaced.MASKS for j in same):
+            continue
+        todo = [(min(same), max(same) + 1)]
+        while todo:
+            low, high = todo.pop()
+            best, run, begin = (0, 0, 0), 0, low
+            for j in range(low, high):
+                if run < 0:
+                    run, begin = 0, j
+                run += 1 if same[j] else -spaced.MISMATCH
+                if run > best[0]:
+                    best = (run, begin, j + 1)
+            equal = sum(same[j] for j in range(best[1], best[2]))
+            if equal >= least:
+                found.append((-equal, best[1] + d, best[2] - best[1]))
+                todo += [(low, best[1]), (best[2], high)]
+    taken = []
+    for n, start, length in sorted(found):
+        if all(start + length <= a or start >= a + b for a, b, _ in taken):
+            taken.append((start, length, -n))
+    return sorted(taken)
+
+
+def test_overlaps_equal_plain_loops(spark):
+    """Every passage of every pair, over few different words, repeats and replaced words; small bounds change nothing."""
+    rng = np.random.default_rng(5)
+    item = [f"x{i}" for i in range(25)]
+    texts = [" ".join(rng.choice(list("abcdef"), size=n)) for n in (0, 9, 60, 200)] + ["a " * 90, " ".join(item + ["-"] * 9 + item), None]
+    texts += [" ".join(w if rng.random() > 0.15 else "no" for w in item * 3) for _ in range(4)] + ["a " * 90]
+    items = [" ".join(rng.choice(list("abcdef"), size=40)), "a " * 30, " ".join(item), texts[3][20:140], "a b", None, " ".join(item)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    want = sorted(
+        (i, j, *o) for i, t in enumerate(texts) for j, u in enumerate(items) for o in plain_overlaps((t or "").split(), (u or "").split(), 10)
+    )
+    assert sum(1 for r in want if r[:2] == (5, 2)) == 2
+    assert sorted(map(tuple, spaced.contaminated(docs, bench).collect())) == want
+    kept = {i for i in range(len(texts))} - {r[0] for r in want}
+    assert {r.doc_id for r in spaced.drop_contaminated(docs, bench).collect()} == kept
+
+
+def test_repeated_words_need_no_pair_of_seeds():
+    """A text of one word, many times over: one flag per diagonal, disjoint overlaps."""
+    word = spaced._hashes(b"a")
+    got = spaced.Text(np.repeat(word, 5000)).overlaps(np.repeat(word, 500), 10)
+    assert got == [(i * 500, 500, 500) for i in range(10)]
+
+
 def test_whole_items_are_found(spark, docs, texts):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     want = {(i, b.item_id) for b in items.collect() for i, t in texts.items() if b.text in t}
