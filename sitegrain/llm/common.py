@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from sitegrain.runtime import new_folder
 
 #: Bytes of text that one step of an array computation handles; a longer single text is handled alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
+#: Bytes of one batch between Spark and Python; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -28,6 +30,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches to Python hold a bounded number of bytes, not of rows, unless the session says how many itself."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as compressed columns in the shared folder; several reads see the same rows."""
     folder = new_folder(df.sparkSession)

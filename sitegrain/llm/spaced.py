@@ -162,9 +162,9 @@ _SEEDS = "ta long, tb long, k long"
 
 
 def _bit_table(item_seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """(words of 64 bits, log2 of the bits) of a table of the seeds' first bits, about sixteen bits a seed and ``MAX_BITS`` at most."""
+    """(words of 64 bits, log2 of the bits) of a table of the seeds' first bits, about 256 bits a seed and ``MAX_BITS`` at most."""
     n = item_seeds.count()
-    bits = min(MAX_BITS, max(16, (16 * n).bit_length()))
+    bits = min(MAX_BITS, max(16, (256 * n).bit_length()))
     slot = F.shiftrightunsigned("k", 64 - bits)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     rows = item_seeds.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(one).alias("w")).toPandas()
