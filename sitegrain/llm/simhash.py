@@ -1,9 +1,11 @@
 """SimHash near-dedup with a vantage-point tree over the distinct fingerprints.
 
 Texts become 64-bit fingerprints; equal fingerprints are one point from there on, so thousands of
-copies cost one row. A vantage-point tree built on a bounded sample (``SAMPLE`` fingerprints, at
-most ``MAX_SHARDS`` leaves) partitions the points by Hamming distance: each node has a vantage
-point and a radius, and a point at distance d lives inside (d <= radius) or outside. By the
+copies cost one row. A vantage-point tree built on a sample partitions the points by Hamming
+distance: each node has a vantage point and a radius, and a point at distance d lives inside
+(d <= radius) or outside. The number of leaves follows the number of points: a tree has up to
+``LEAVES`` leaves, and a leaf that is still too full gets a tree of its own in the next level,
+shaped by ``PER_LEAF`` sampled points a leaf, until no leaf can be split further. By the
 triangle inequality a partner within k bits can be on the other side only if d is within k of the
 radius; only then a copy of the point also visits that side. One crossing per pair is enough, so
 points cross from inside to outside only, and a visiting copy follows every branch it may have a
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import Shielded
+from sitegrain.llm.common import Shielded, written
 from sitegrain.llm.components import components
 from sitegrain.runtime import cut_lineage
 
-SAMPLE = 16_384
 SHARD_POINTS = 4_096
-MAX_SHARDS = 1_024
+LEAVES = 1_024
+#: Sampled points that shape a tree, per leaf. They go to the driver: one of ``SHARD_POINTS / PER_LEAF`` fingerprints.
+PER_LEAF = 16
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -96,10 +99,13 @@ class VantageTree:
         self.leaves += 1
         return self.leaves - 1
 
-    def route(self, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of the point, leaf, lives there) for every leaf that a point lives in or has to visit."""
+    def route(self, points: np.ndarray, k: int, lives: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the point, leaf, lives there) for every leaf that a point lives in or has to visit.
+
+        ``lives``: whether each point lives in this tree at all; the others are visitors in it.
+        """
         rows, leaves, homes = [], [], []
-        stack = [(self.root, np.arange(points.size), np.ones(points.size, dtype=bool))]
+        stack = [(self.root, np.arange(points.size), np.ones(points.size, dtype=bool) if lives is None else lives)]
         while stack:
             node, at, home = stack.pop()
             if not at.size:
@@ -127,7 +133,7 @@ def close_pairs(homes: np.ndarray, visitors: np.ndarray, k: int, depth: int = 0)
     """
     if not homes.size or not visitors.size:
         return
-    if homes.size * visitors.size <= 1 << 16 or depth == 6:
+    if homes.size * visitors.size <= 1 << 16 or depth == 24:
         step = max(1, (1 << 22) // homes.size)
         for first in range(0, visitors.size, step):
             v, h = np.nonzero(np.bitwise_count(visitors[first : first + step, None] ^ homes[None, :]) <= k)
@@ -163,22 +169,46 @@ def shard_forest(points: np.ndarray, home: np.ndarray, k: int) -> list[tuple[int
     return forest
 
 
-def fingerprint_links(points: DataFrame, fp: str = "_fp", max_bits: int = 2) -> DataFrame:
-    """(a, b): links that connect all fingerprints within ``max_bits`` of each other.
-
-    ``points`` holds distinct fingerprints and is read three times: count, sample, routing.
-    """
-    count = points.count()
-    # A bounded sample shapes the tree; which pairs are found does not depend on it.
-    sample = points.select(fp).orderBy(F.xxhash64(fp), fp).limit(SAMPLE).toPandas()[fp].to_numpy(np.int64).view(np.uint64)
-    tree = VantageTree(sample, min(MAX_SHARDS, 1 + count // SHARD_POINTS))
+def _split_full(routed: DataFrame, tried: set[int], max_bits: int, shard_points: int, leaves: int) -> DataFrame | None:
+    """``routed`` with a tree for every shard in which more than ``shard_points`` points live; None if there is none left to split."""
+    sizes = routed.filter("home").groupBy("shard").count().filter(F.col("count") > shard_points)
+    full = {r["shard"]: r["count"] for r in sizes.toLocalIterator() if r["shard"] not in tried}
+    if not full:
+        return None
+    rank = F.pmod(F.xxhash64(F.lit("sample"), "fp"), F.lit(max(1, shard_points // PER_LEAF)))
+    mine = routed.filter("home").filter(rank == 0)
+    picked = mine.join(sizes.select("shard"), "shard", "left_semi").select("shard", "fp").toPandas()
+    trees = {}
+    for shard, points in picked.sort_values("fp").groupby("shard")["fp"]:
+        if shard in full:
+            trees[shard] = VantageTree(points.to_numpy(np.int64).view(np.uint64), min(leaves, 1 + 2 * full[shard] // shard_points))
+    # A shard whose sample cannot be split stays as it is; its leaves get numbers of their own otherwise.
+    trees = {shard: tree for shard, tree in trees.items() if tree.leaves > 1}
+    tried |= full.keys() - trees.keys()
+    if not trees:
+        return None
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(0).to_numpy(zero_copy_only=False)
-            at, leaf, home = tree.route(values.view(np.uint64), max_bits)
-            columns = [pa.array(leaf.astype(np.int32)), pa.array(values[at]), pa.array(home)]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "fp", "home"])
+            shard, fp, home = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp", "home"))
+            for own in np.unique(shard).tolist():
+                at = np.flatnonzero(shard == own)
+                tree = trees.get(own)
+                if tree is None:
+                    columns = [pa.array(shard[at]), pa.array(fp[at]), pa.array(home[at])]
+                else:
+                    row, leaf, lives = tree.route(fp[at].view(np.uint64), max_bits, home[at])
+                    columns = [pa.array(own * (leaves + 1) + 1 + leaf), pa.array(fp[at][row]), pa.array(lives)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "fp", "home"])
+
+    return written(routed.mapInArrow(route, "shard long, fp long, home boolean"))
+
+
+def fingerprint_links(points: DataFrame, fp: str = "_fp", max_bits: int = 2, shard_points: int = SHARD_POINTS, leaves: int = LEAVES) -> DataFrame:
+    """(a, b): links that connect all fingerprints within ``max_bits`` of each other.
+
+    ``points`` holds distinct fingerprints. Which pairs are found does not depend on the trees.
+    """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf["fp"].to_numpy(np.int64)
@@ -186,7 +216,10 @@ def fingerprint_links(points: DataFrame, fp: str = "_fp", max_bits: int = 2) ->
         i = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": values[i[:, 0]], "b": values[i[:, 1]]})
 
-    routed = points.select(fp).mapInArrow(route, "shard int, fp long, home boolean")
+    routed = points.select(F.lit(0).cast("long").alias("shard"), F.col(fp).cast("long").alias("fp"), F.lit(True).alias("home"))
+    tried: set[int] = set()
+    while (split := _split_full(routed, tried, max_bits, shard_points, leaves)) is not None:
+        routed = split
     return routed.groupBy("shard").applyInPandas(search, "a long, b long")
 
 

@@ -218,6 +218,34 @@ def test_vantage_tree_finds_all_pairs():
     assert linked == {(i, j) for i, j in zip(*np.nonzero(close)) if i < j}
 
 
+@pytest.mark.parametrize("bounds", [(4096, 1024), (60, 4), (16, 3)])
+def test_trees_of_trees_link_all_pairs(spark, bounds):
+    """Full leaves get trees of their own: the links join exactly what lies within two bits, however small the leaves."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 250, dtype=np.uint64)
+    flips = [np.uint64(1) << rng.integers(0, 64, base.size, dtype=np.uint64) for _ in range(4)]
+    points = np.unique(np.concatenate([base, base ^ flips[0], base ^ flips[0] ^ flips[1], base ^ flips[1] ^ flips[2] ^ flips[3], base[:1] ^ np.arange(200, dtype=np.uint64)]))
+    table = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "_fp long")
+    got = simhash.fingerprint_links(table, shard_points=bounds[0], leaves=bounds[1]).collect()
+    at = {int(x): i for i, x in enumerate(points.view(np.int64))}
+
+    def classes(pairs):
+        parent = list(range(points.size))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in pairs:
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+        return [root(i) for i in range(points.size)]
+
+    close = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2
+    assert all(close[at[r.a], at[r.b]] for r in got)
+    assert classes([(at[r.a], at[r.b]) for r in got]) == classes(zip(*np.nonzero(close)))
+
+
 def test_spaced_seeds_tolerate_substitutions(spark):
     item = [f"item{i}" for i in range(30)]
     swapped = [w if i % 9 != 4 else "other" for i, w in enumerate(item)]
