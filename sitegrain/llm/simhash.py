@@ -35,10 +35,11 @@ from sitegrain.llm.common import Shielded, written
 from sitegrain.llm.components import components
 from sitegrain.runtime import cut_lineage
 
-SHARD_POINTS = 4_096
+#: Points that live in one shard. Every level of a tree adds visitors, so shards are large and split by shells inside a task.
+SHARD_POINTS = 65_536
 LEAVES = 1_024
 #: Sampled points that shape a tree, per leaf. They go to the driver: one of ``SHARD_POINTS / PER_LEAF`` fingerprints.
-PER_LEAF = 16
+PER_LEAF = 64
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -50,14 +51,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         return 0
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    begins = np.cumsum(sizes) - sizes
-    n = max(1, len(words) - shingle + 1)
-    ends = (begins + sizes - 1)[-n:] if len(words) >= shingle else np.array([len(joined)])
+    begins, count = np.cumsum(sizes) - sizes, len(words)
+    del words
+    n = max(1, count - shingle + 1)
+    ends = (begins + sizes - 1)[-n:] if count >= shingle else np.array([len(joined)])
     ones = np.zeros(64, np.int64)
-    pairs = list(zip(begins[:n].tolist(), ends.tolist()))
     for first in range(0, n, 1 << 16):
-        part = pairs[first : first + (1 << 16)]
-        h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in part), np.uint64, len(part))
+        # Only one step's places become Python numbers: a long text has millions of shingles.
+        part = zip(begins[:n][first : first + (1 << 16)].tolist(), ends[first : first + (1 << 16)].tolist())
+        h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in part), np.uint64)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
@@ -181,7 +183,7 @@ def _split_full(routed: DataFrame, tried: set[int], max_bits: int, shard_points:
     trees = {}
     for shard, points in picked.sort_values("fp").groupby("shard")["fp"]:
         if shard in full:
-            trees[shard] = VantageTree(points.to_numpy(np.int64).view(np.uint64), min(leaves, 1 + 2 * full[shard] // shard_points))
+            trees[shard] = VantageTree(points.to_numpy(np.int64).view(np.uint64), min(leaves, 1 + full[shard] // shard_points))
     # A shard whose sample cannot be split stays as it is; its leaves get numbers of their own otherwise.
     trees = {shard: tree for shard, tree in trees.items() if tree.leaves > 1}
     tried |= full.keys() - trees.keys()
