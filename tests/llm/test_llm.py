@@ -366,6 +366,52 @@ def test_recall_of_near_passages(spark):
     assert len(pairs) >= 0.9 * n, len(pairs) / n
 
 
+def _between(rng, passages, least=30, most=90):
+    """One text around each passage, of words that no other text has."""
+    word = lambda: f"w{rng.randrange(10**9)}"
+    fill = lambda: [word() for _ in range(rng.randrange(least, most))]
+    return [(i, " ".join(fill() + p + fill())) for i, p in enumerate(passages)]
+
+
+def test_links_of_texts_unlike_the_leader_of_their_group(spark):
+    """Variants of one passage that are unlike each other, each with a near copy: the near copies are linked, in groups of any size."""
+    import random
+
+    rng = random.Random(5)
+    for n in (10, 60):  # below and above PAIRED texts a signature
+        common = [f"c{i}" for i in range(30)]
+        passages = []
+        for i in range(n):
+            own = common + [f"v{i}x{j}" for j in range(30)]
+            near = list(own)
+            near[rng.randrange(60)] = "changed"
+            passages += [own, near]
+        rows = windows.near_duplicate_passages(spark.createDataFrame(_between(rng, passages), "doc_id long, text string")).collect()
+        assert {tuple(sorted((r.doc_id, r.partner_id))) for r in rows} == {(2 * i, 2 * i + 1) for i in range(n)}
+        assert {(r.doc_id // 2 * 2, r.class_id) for r in rows} == {(2 * i, 2 * i) for i in range(n)}
+
+
+def test_one_class_for_a_passage_in_many_texts(spark):
+    """More texts with one passage than are paired each with each: one class, and few rows."""
+    import random
+
+    rows = _between(random.Random(6), [[f"c{i}" for i in range(70)]] * 100)
+    found = windows.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x for r in found for x in (r.doc_id, r.partner_id)} == set(range(100))
+    assert {r.class_id for r in found} == {0} and len(found) < 300
+
+
+def test_similar_passages_of_moved_blocks_and_longer_insertions():
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 1 << 60, 100)
+    grams = lambda w: np.array([hash(tuple(w[i : i + 5].tolist())) for i in range(w.size - 4)], np.int64).view(np.uint64)
+    swapped = np.concatenate((words[50:], words[:50]))
+    longer = np.concatenate((words[:40], rng.integers(1, 1 << 60, 9), words[40:]))
+    for other in (words, swapped, longer):
+        assert windows.similar_passages(grams(words), grams(other), 46, 0.8)
+    assert not windows.similar_passages(grams(words[:60]), grams(np.concatenate((words[:30], rng.integers(1, 1 << 60, 30)))), 46, 0.8)
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(2)
     values = np.concatenate(([0], rng.permutation(1 << 12)[:300] + 1)).astype(np.uint64) << np.uint64(40)
