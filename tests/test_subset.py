@@ -10,7 +10,7 @@ from sitegrain.operators import subset as P
 from sitegrain.plans.subsets import city_places, country_places
 from sitegrain.sources import places as SP
 from sitegrain.sources.profile import Funnel, profile_markdown, schema_profile
-from sitegrain.sources.sinks import write_clustered
+from sitegrain.sources.sinks import write_clustered, z_order
 
 RAW = "fsq_place_id string, name string, latitude double, longitude double, country string, fsq_category_ids array<string>"
 
@@ -139,6 +139,27 @@ def test_clustered_layout_skips_row_groups(spark, tmp_path):
     assert dict(map(tuple, spark.read.parquet(str(tmp_path / "z")).groupBy("part").count().collect())) == {0: 30_000, 1: 7}
 
 
+def test_clustered_layout_spreads_one_spot(spark, tmp_path):
+    """All rows at one place: they are dealt over the files."""
+    import pyarrow.parquet as pq
+
+    table = spark.range(20_000).select("id", F.lit(-33.87).alias("lat"), F.lit(151.207).alias("lon"), F.lit("AU").alias("part"))
+    write_clustered(table, str(tmp_path / "one"), ["part"], files=8)
+    sizes = [pq.read_metadata(f).num_rows for f in (tmp_path / "one").rglob("*.parquet")]
+    assert sum(sizes) == 20_000 and len(sizes) >= 6 and max(sizes) < 6_000
+
+
+def test_curve_position_interleaves_bits(spark):
+    given = [(-90.0, -180.0), (90.0, 180.0), (-33.87, 151.207), (12.5, -0.1), (0.0, None), (None, 0.0)]
+    got = spark.createDataFrame(given, "lat double, lon double").select(z_order(F.col("lat"), F.col("lon"))).collect()
+
+    def plain(lat, lon):
+        y, x = (min(max(int((v - low) / span * 65536), 0), 65535) for v, low, span in ((lat, -90.0, 180.0), (lon, -180.0, 360.0)))
+        return sum((x >> b & 1) << 2 * b | (y >> b & 1) << 2 * b + 1 for b in range(16))
+
+    assert [r[0] for r in got] == [plain(*g) for g in given[:4]] + [None, None]
+
+
 def test_sample_of_hot_and_repeated_rows(spark):
     """Two thirds of the rows share one id, a third is one row over and over; the order is that of the two hashes."""
     given = [("hot", i % 300) for i in range(600)] + [("same", 1)] * 600 + [(f"p{i}", i) for i in range(300)] + [(None, 1)] * 3
