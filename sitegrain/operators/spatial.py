@@ -36,13 +36,18 @@ def grid_level(edges: Column, extent: Column) -> Column:
     return F.least(F.greatest(whole - finer, F.lit(MIN_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
 
 
+def region_level() -> Column:
+    """The grid level of an indexed region's cover."""
+    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    return grid_level(F.col("edges"), extent)
+
+
 def cover_index(indexed: DataFrame) -> DataFrame:
     """The cover of every region: ``region_order``, its cells, and per cell ``odd``, ``own`` edges and ``ends``.
 
     All of it is made row by row from the edge list: nothing is shuffled, and a region of n edges
     gets about n / ``CELL_EDGES`` cells. Cells wholly outside are left out.
     """
-    extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     level = F.col("grid_level")
 
     def cell(value: Column) -> Column:
@@ -69,7 +74,7 @@ def cover_index(indexed: DataFrame) -> DataFrame:
     )
     regions = (
         indexed.filter(F.col("min_x").isNotNull())
-        .withColumn("grid_level", grid_level(F.col("edges"), extent))
+        .withColumn("grid_level", region_level())
         .select(
             "region_order", "grid_level", F.transform("edges", placed).alias("placed"),
             F.sequence(cell(F.col("min_x")), cell(F.col("max_x"))).alias("columns"),
@@ -111,8 +116,8 @@ def locate(
     small and shuffles by grid cell beyond that. ``cover`` is a kept ``cover_index(indexed)``.
     """
     cells = cover_index(indexed) if cover is None else cover
-    # At most one integer per level.
-    levels = cells.agg(F.collect_set("grid_level").alias("levels")).scalar()
+    # At most one integer per level, from the boxes: the cover itself is built once, for the join.
+    levels = indexed.filter(F.col("min_x").isNotNull()).agg(F.collect_set(region_level()).alias("levels")).scalar()
     p = points.select(
         F.col(id_col).alias("_id"),
         F.col(lon).alias("_x"),

@@ -50,6 +50,13 @@ def test_spatial_join_is_an_equi_join(inputs):
     assert "BroadcastHashJoin" in plan
 
 
+def test_cover_is_built_once(inputs):
+    areas = A.cell_counts(inputs.core_places).areas
+    plan = optimized(G.locate(areas, inputs.regions, "area_id", "lat_mean", "lon_mean", "c", "n"))
+    built = [line for line in plan.splitlines() if "Generate explode(" in line and "[grid_y#" in line]
+    assert len(built) == 1, built
+
+
 def test_scoring_has_no_join_and_no_global_window(inputs):
     features = area_features(inputs.core_places, inputs.categories, {"gym": GYM.taxonomy})
     plan = physical(S.opportunity(features, GYM.weights))
