@@ -4,16 +4,17 @@ Two tokenizers cut the same bytes. Offsets where tokens of both end cut a text i
 every token of the one is linked with every token of the other in its group. The count of an id
 pair is the number of documents that hold it linked.
 
-1. The first pass aligns every document; each task hands on the distinct pairs of its part with
-   the number of its documents that hold them.
-2. The distinct pairs are dealt into slices of bounded size. Each slice gets a minimal perfect
+1. Every document is aligned once. Its numbers are a row, and its links are kept beside it as byte
+   strings of a bounded number of links.
+2. Each task over the links hands on the distinct pairs of its part with the number of its
+   documents that hold them. The distinct pairs are dealt into slices of bounded size. Each slice gets a minimal perfect
    hash: levels of bits, a pair sits on the first level where it collides with no other, and its
    slot is the number of set bits before it. The pairs are kept in slot order, so every look-up
    is verified.
 3. The partial counts of a few tasks become one dense vector per slice, indexed by the hash;
    vectors are summed up a tree with a fixed fan-in.
-4. The second pass aligns the documents again and hands on the links of each, by slice. Bounded
-   groups of links meet their slice, look up its counts and return sums per document.
+4. The second pass over the links deals them by slice. Bounded groups of links meet their slice,
+   look up its counts and return sums per document.
 
 Nothing is collected but the highest count per id of the first tokenizer, one number per entry of
 its vocabulary. A pair in a third of all documents is one row per task; a document copied often is
@@ -31,7 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ from sitegrain.llm.common import mixed, written
 GROUP_BYTES = 2 << 20
 #: Segments, characters of them and links of them that a task remembers before it starts afresh.
 REMEMBERED, REMEMBERED_CHARS, REMEMBERED_LINKS = 400_000, 8 << 20, 4 << 20
+#: Links of one kept byte string.
+STORED_LINKS = 1 << 16
 #: Distinct pairs that a task of the first pass holds before it hands them on.
 HELD_PAIRS = 1 << 20
 #: Pairs are filed under so many fixed buckets; a slice is a run of buckets.
@@ -119,10 +122,9 @@ class PerfectHash:
 class Aligner:
     """Groups and links of texts under a byte-level vocabulary (A) and a piece model (B)."""
 
-    def __init__(self, path_a: str, path_b: str, shows: bool = True):
+    def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
 
-        self.shows = shows
         self.a = ArrayMerger(path_a)
         self.b = SentencePieceProcessor(model_file=path_b)
         n = self.b.get_piece_size()
@@ -179,8 +181,7 @@ class Aligner:
             np.bincount(group_of, minlength=n), np.bincount(group_of, weights=a_in * b_in, minlength=n).astype(np.int64),
         ], axis=1)
         owner, pairs, times = self._links(a, a_group, b, b_group, group_of)
-        if self.shows:
-            self._show(n, a, a_group, b, b_group, group_of)
+        self._show(n, a, a_group, b, b_group, group_of)
         first = len(self.known)
         self.known.update(zip(parts, range(first, first + n)))
         self.chars += sum(map(len, parts))
@@ -241,10 +242,7 @@ class Aligner:
         return out
 
     def align(self, texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers per text, digest per text, text number, pair, times): the links by text and pair, each once a text.
-
-        Without ``shows`` the digests mean nothing.
-        """
+        """(numbers per text, digest per text, text number, pair, times): the links by text and pair, each once a text."""
         n = len(texts)
         numbers = np.zeros((n, 4), np.int64)
         valid = np.array([bool(t) for t in texts], dtype=bool)
@@ -263,7 +261,7 @@ class Aligner:
             np.logical_and.at(valid, who, found[:, 0] == sizes)
             np.add.at(numbers, who, found[:, 1:])
             who = np.repeat(who, sizes)
-            for (i, _), own in zip(waiting, codes) if self.shows else ():
+            for (i, _), own in zip(waiting, codes):
                 first = self.shown_at[own]
                 shown = self.shown[_spans(first, self.shown_at[own + 1] - first)]
                 digests[i].update((b";" if begun[i] else b"") + shown[:-1].tobytes())
@@ -338,9 +336,9 @@ def _summed(owner: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np
 
 
 @lru_cache(maxsize=1)
-def aligner(path_a: str, path_b: str, shows: bool) -> Aligner:
+def aligner(path_a: str, path_b: str) -> Aligner:
     """The worker's aligner, kept from one task to the next within its bounds."""
-    return Aligner(path_a, path_b, shows)
+    return Aligner(path_a, path_b)
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
@@ -357,11 +355,11 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield first, own
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """First pass: (part, bucket, pair, docs), the distinct pairs of each task with its number of documents."""
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """First pass over ``links``: (part, bucket, pair, docs), the distinct pairs of each task with its number of documents."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = aligner(path_a, path_b, False), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def joined() -> tuple[np.ndarray, np.ndarray]:
@@ -373,19 +371,25 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             columns = [np.full(pairs.size, part, np.int64), bucket_of(pairs), pairs, times]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "bucket", "pair", "docs"])
 
-        for b in batches:
-            for _, texts in _groups(b):
-                pairs, times = _counted(own.align(texts)[3])
-                held = [*held, (pairs, times)]
-                if len(held) > 4:
-                    held = [joined()]
-                    if held[0][0].size > HELD_PAIRS:
-                        yield handed(*held[0])
-                        held = []
+        waiting: list[np.ndarray] = []
+        for raw in chain.from_iterable(b.column("links").to_pylist() for b in batches):
+            # A pair stands once for each document that holds it.
+            waiting.append(unpacked(raw)[1])
+            if sum(w.size for w in waiting) < LOOKUP_LINKS:
+                continue
+            held.append(_counted(np.concatenate(waiting)))
+            waiting = []
+            if len(held) > 4:
+                held = [joined()]
+                if held[0][0].size > HELD_PAIRS:
+                    yield handed(*held[0])
+                    held = []
+        if waiting:
+            held.append(_counted(np.concatenate(waiting)))
         if held:
             yield handed(*joined())
 
-    return docs.select("text").mapInArrow(gather, "part long, bucket long, pair long, docs long")
+    return rows.select("links").mapInArrow(gather, "part long, bucket long, pair long, docs long")
 
 
 def perfect_hashes(pairs: DataFrame, slices: int) -> DataFrame:
@@ -476,15 +480,15 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def document_links(docs: DataFrame, path_a: str, path_b: str, slices: int, salts: int) -> DataFrame:
-    """Second pass: a row per document (slice null), and rows with the links of bounded runs of documents by slice."""
+def document_links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """A row per document (links null), and rows with the links of bounded runs of documents, each pair once a document."""
     kind = docs.schema["doc_id"].dataType
-    schema = f"row long, doc_id {kind.simpleString()}, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string, slice long, salt long, links binary"
+    schema = f"row long, doc_id {kind.simpleString()}, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string, links binary"
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part = aligner(path_a, path_b, True), TaskContext.get().partitionId()
-        names = ["row", "doc_id", *_NUMBERS, "groups_sha256", "slice", "salt", "links"]
-        row = run = 0
+        own, part = aligner(path_a, path_b), TaskContext.get().partitionId()
+        names = ["row", "doc_id", *_NUMBERS, "groups_sha256", "links"]
+        row = 0
         for b in batches:
             ids = b.column("doc_id")
             for first, texts in _groups(b):
@@ -493,27 +497,46 @@ def document_links(docs: DataFrame, path_a: str, path_b: str, slices: int, salts
                 n, none = len(texts), pa.nulls
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(at), ids.slice(first, n), *[pa.array(numbers[:, k]) for k in range(4)], pa.array(digests, pa.string()),
-                     none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary())], names=names)
+                     none(n, pa.binary())], names=names)
+                rows = [
+                    packed(row + (part << 40), owner[k : k + STORED_LINKS], pairs[k : k + STORED_LINKS], times[k : k + STORED_LINKS])
+                    for k in range(0, pairs.size, STORED_LINKS)
+                ]
+                m = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [none(m, pa.int64()), none(m, ids.type), *[none(m, pa.int64())] * 4, none(m, pa.string()), pa.array(rows, pa.binary())], names=names)
+                row += n
+
+    return docs.select("doc_id", "text").mapInArrow(align, schema)
+
+
+def dealt_links(rows: DataFrame, slices: int, salts: int) -> DataFrame:
+    """Second pass over ``links``: (slice, salt, links), those of a few byte strings by slice."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run = TaskContext.get().partitionId(), 0
+        for b in batches:
+            out = []
+            # Numbers of rows are kept as distances, and those of one task of the alignment are near each other.
+            for _, held in groupby(map(unpacked, b.column("links").to_pylist()), lambda x: x[0][0] >> 40):
+                at, pairs, times = (np.concatenate(x) for x in zip(*held))
                 slice_of = bucket_of(pairs) * slices >> BUCKET_BITS
                 order = np.argsort(slice_of, kind="stable")
                 cuts = np.searchsorted(slice_of[order], np.arange(slices + 1))
-                rows = []
+                base = int(at.min())
                 for s in np.flatnonzero(np.diff(cuts)).tolist():
                     mine = order[cuts[s] : cuts[s + 1]]
                     # A row of links stays far below the size limit of a cell.
                     for k in range(0, mine.size, LOOKUP_LINKS):
                         piece = mine[k : k + LOOKUP_LINKS]
                         salt = int(mixed(np.array([(part << 20) + run], np.uint64), s)[0] % np.uint64(salts))
-                        rows.append((s, salt, packed(row + (part << 40), owner[piece], pairs[piece], times[piece])))
+                        out.append((s, salt, packed(base, at[piece] - base, pairs[piece], times[piece])))
                         run += 1
-                m = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [none(m, pa.int64()), none(m, ids.type), *[none(m, pa.int64())] * 4, none(m, pa.string()),
-                     pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                    names=names)
-                row += n
+            if out:
+                columns = zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], names=["slice", "salt", "links"])
 
-    return docs.select("doc_id", "text").mapInArrow(align, schema)
+    return rows.select("links").mapInArrow(deal, "slice long, salt long, links binary")
 
 
 def look_up(links: DataFrame, tables: DataFrame, best: dict[int, int], width: int, salts: int) -> DataFrame:
@@ -544,7 +567,9 @@ def align_counts(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_i
 
     width = SentencePieceProcessor(model_file=path_b).get_piece_size()
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    partial = written(pair_counts(narrow, path_a, path_b))
+    rows = written(document_links(narrow, path_a, path_b))
+    linked = rows.filter("links is not null")
+    partial = written(pair_counts(linked))
     pairs = written(partial.select("bucket", "pair").distinct())
     n_pairs = pairs.count()
     total = partial.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("links"), F.coalesce(F.max("part"), F.lit(0)).alias("part")).first()
@@ -552,10 +577,9 @@ def align_counts(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_i
     salts = max(1, -(-total.links // (slices * LOOKUP_LINKS)))
     hashes = written(perfect_hashes(pairs, slices))
     tables = written(hashes.join(count_vectors(partial, hashes, slices, total.part + 1), "slice"))
-    rows = written(document_links(narrow, path_a, path_b, slices, salts))
-    found = look_up(rows.filter("slice is not null").select("slice", "salt", "links"), tables, _best(tables, width), width, salts)
+    found = look_up(dealt_links(linked, slices, salts), tables, _best(tables, width), width, salts)
     sums = found.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    own = rows.filter("slice is null").select("row", "doc_id", *_NUMBERS, "groups_sha256")
+    own = rows.filter("links is null").select("row", "doc_id", *_NUMBERS, "groups_sha256")
     return own.join(sums, "row", "left").select(
         "doc_id", *_NUMBERS, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")], "groups_sha256"
     )

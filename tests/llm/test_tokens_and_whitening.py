@@ -130,6 +130,25 @@ def test_links_of_strange_texts_with_small_bounds(spark, monkeypatch):
     assert of_rows(rows) == counted(texts)
 
 
+def test_both_passes_read_the_links_of_one_alignment(spark, monkeypatch):
+    texts = ["to be or not to be", "to be", None, "", "éa ▁ b" * 9, "to be or not to be"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.col("text").cast("binary"))
+    monkeypatch.setattr(alignment, "STORED_LINKS", 3)
+    rows = alignment.document_links(table, A, B).collect()
+    linked = spark.createDataFrame([r for r in rows if r.links is not None], "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary")
+    assert max(alignment.unpacked(r.links)[0].size for r in rows if r.links is not None) == 3
+    own = alignment.Aligner(A, B)
+    want = collections.Counter(x for t in texts for x in own.align([(t or "").encode()])[3].tolist())
+    got = collections.Counter()
+    for r in alignment.pair_counts(linked).collect():
+        got[r.pair] += r.docs
+    assert got == want
+    dealt = [(r.slice, *map(np.ndarray.tolist, alignment.unpacked(r.links))) for r in alignment.dealt_links(linked, 4, 2).collect()]
+    assert all((alignment.bucket_of(np.array(pairs)) * 4 >> alignment.BUCKET_BITS == s).all() for s, _, pairs, _ in dealt)
+    both = [sorted(x for r in rows if r.links is not None for x in zip(*map(np.ndarray.tolist, alignment.unpacked(r.links))))]
+    assert both == [sorted(x for _, *links in dealt for x in zip(*links))]
+
+
 def test_perfect_hash_is_minimal_and_verified():
     keys = np.unique(np.random.default_rng(3).integers(0, 2**40, 20_000))
     made = alignment.PerfectHash.from_bytes(alignment.PerfectHash.of(keys).to_bytes())
