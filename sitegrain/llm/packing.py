@@ -8,7 +8,8 @@ to search; only the last, partly filled sequences of a group are lost to its bor
 thousandth at the default group size). The number of groups grows with the corpus.
 
 Tokens of a text do not depend on what lies beyond its white space, so each task encodes every
-white-space separated string once and looks it up afterwards.
+white-space separated string once and looks it up afterwards. Of the strings seen so far it keeps
+those that came again when there are too many of them.
 
 Nulls: a null text is packed like an empty one, as its closing id alone; a null id is carried.
 Repeated rows are packed each on their own. An empty table gives no sequence.
@@ -16,10 +17,11 @@ Repeated rows are packed each on their own. An empty table gives no sequence.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.llm.bpe import byte_alphabet
 from sitegrain.runtime import cut_lineage
 
 LENGTH = 2048
 #: Pieces that one task packs.
 GROUP_PIECES = 50_000
-#: Distinct strings, and bytes of them, that a task remembers before it starts afresh.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64 << 20
+#: Distinct strings, and bytes of them, that a task remembers before it drops those seen once.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64 << 20
 #: Texts encoded together: about so many bytes.
 STEP_BYTES = 4 << 20
 
@@ -44,9 +47,19 @@ class WordEncoder:
     A string of plain letters and closing punctuation is made of the ids of both parts, as the
     tokenizer separates letters from punctuation in any case; so forms of a word share its work.
     Plain letters are those of the oldest alphabets, which stay letters in any version of Unicode
-    and through the tokenizer's normal form and lower case. Other strings are encoded whole.
+    and through the tokenizer's normal form and lower case; where the tokenizer cuts at nothing but
+    letters, digits and other signs, its model gets their bytes at once. Other strings are encoded whole.
     """
 
+    #: What a tokenizer does to a string before its model: letters in a row are one pre-token, by their bytes.
+    _KNOWN = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    )
+
     _POINTS = b".,;:!?|"
     _MARK = "\x01"
     #: Letters below U+0500 (Latin, Greek, Cyrillic) without the one whose lower case holds a combining mark.
@@ -58,6 +71,13 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self._plain(self._MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.letters: dict[int, str] | None = None
+        if (spec["normalizer"], spec["pre_tokenizer"]) == self._KNOWN and not any(map(str.isalpha, (t["content"] for t in spec["added_tokens"]))):
+            alphabet = byte_alphabet()
+            own = (c for c in map(chr, range(0x500)) if self._plain_letters(c))
+            self.letters = {ord(c): "".join(alphabet[b] for b in self.tokenizer.normalizer.normalize_str(c).encode()) for c in own}
         self.clear()
 
     def clear(self) -> None:
@@ -65,6 +85,18 @@ class WordEncoder:
         self.codes: dict[bytes, int] = {b"": 0}
         self.held = 0
         self.flat, self.begins = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.uses = np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Drop the strings seen once at most; all, if most came again."""
+        again = np.zeros(len(self.codes), dtype=bool)
+        again[: self.uses.size] = self.uses[: again.size] > 1
+        again[0] = False
+        kept = [w for w, a in zip(self.codes, again.tolist()) if a]
+        ids, sizes = self._gather(np.flatnonzero(again))
+        self.clear()
+        if len(kept) <= REMEMBERED // 2 and sum(map(len, kept)) <= REMEMBERED_BYTES // 2:
+            self._add(kept, ids, sizes)
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -83,6 +115,16 @@ class WordEncoder:
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(begins - ends + sizes, sizes) + np.arange(int(ends[-1]) if ends.size else 0)], sizes
 
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Strings of plain letters, by the model alone."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        ids: list[int] = []
+        ends = [0]
+        for w in words:
+            ids += [t.id for t in tokenize(w.decode().translate(letters))]
+            ends.append(len(ids))
+        self._add(words, np.array(ids, np.uint32), np.diff(ends))
+
     def _encode_new(self, words: list[bytes]) -> None:
         """Many strings in one call, with a mark of one id between them."""
         all_ids, all_sizes = [], []
@@ -107,18 +149,25 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         letters = [w.rstrip(self._POINTS).lower() for w in words]
         shaped = [x.isalpha() or (not x.isascii() and self._plain_letters(x.decode("utf-8", "replace"))) for x in letters]
-        bases = {x if s else w for w, x, s in zip(words, letters, shaped)}
-        bases.update({w[len(x) :] for w, x, s in zip(words, letters, shaped) if s})
-        self._encode_new([w for w in bases if w not in self.codes])
-        made = [(w, x) for w, x, s in zip(words, letters, shaped) if s and w not in self.codes]
-        parts = [self.codes[p] for w, x in made for p in (x, w[len(x) :])]
-        ids, sizes = self._gather(np.array(parts, np.int64))
-        self._add([w for w, _ in made], ids, sizes[0::2] + sizes[1::2])
+        bases = set(compress(letters, shaped)).difference(self.codes)
+        others = {w[len(x) :] if s else w for w, x, s in zip(words, letters, shaped)}.difference(self.codes, bases)
+        if self.letters is None:
+            others |= bases
+        else:
+            self._encode_letters(list(bases))
+        self._encode_new(list(others))
+        new = [s and w not in self.codes for w, s in zip(words, shaped)]
+        made, bases = list(compress(words, new)), list(compress(letters, new))
+        parts = np.empty((len(made), 2), np.int64)
+        parts[:, 0] = np.fromiter(map(self.codes.__getitem__, bases), np.int64, len(made))
+        parts[:, 1] = np.fromiter((self.codes[w[len(x) :]] for w, x in zip(made, bases)), np.int64, len(made))
+        ids, sizes = self._gather(parts.ravel())
+        self._add(made, ids, sizes[0::2] + sizes[1::2])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.codes) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self.clear()
+            self.forget()
         split = [t.split() for t in texts]
         words = list(chain.from_iterable(split))
         codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
@@ -126,7 +175,10 @@ class WordEncoder:
         if missing:
             unknown = [words[i] for i in missing]
             self._learn(list(set(unknown)))
-            codes[missing] = list(map(self.codes.__getitem__, unknown))
+            codes[missing] = np.fromiter(map(self.codes.__getitem__, unknown), np.int64, len(unknown))
+        uses = np.bincount(codes, minlength=self.uses.size)
+        uses[: self.uses.size] += self.uses
+        self.uses = uses
         ids, sizes = self._gather(codes)
         borders = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, split)])]
         return [ids[a:b] for a, b in zip(borders[:-1], borders[1:])]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -178,6 +179,26 @@ def test_word_ids_equal_the_tokenizer_on_letters_of_all_kinds():
     assert [g.tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_words_that_came_again_are_kept_when_too_many_are_remembered(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(TOKENIZER)
+    t, rng = Tokenizer.from_file(path), random.Random(8)
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    encoder = packing.WordEncoder(path)
+    for step in range(8):
+        once = ["".join(rng.choice("abcdeéßж") for _ in range(9)) + "." for _ in range(100)]
+        texts = ["common Words, the same; " + " ".join(once), "the common words"]
+        assert [g.tolist() for g in encoder.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert b"Words," in encoder.codes and len(encoder.codes) < 700
+        encoder.forget()
+        # What came once is gone, what came again stays with its ids.
+        assert b"common" in encoder.codes and once[0].encode() not in encoder.codes
+    monkeypatch.setattr(packing, "REMEMBERED", 4)
+    encoder.forget()
+    assert list(encoder.codes) == [b""]
+
+
 def test_simhash_components(docs, texts):
     want = {}
     for i, t in texts.items():
@@ -412,6 +433,27 @@ def test_similar_passages_of_moved_blocks_and_longer_insertions():
     assert not windows.similar_passages(grams(words[:60]), grams(np.concatenate((words[:30], rng.integers(1, 1 << 60, 30)))), 46, 0.8)
 
 
+def test_repetitive_pairs_are_not_compared_part_by_part(monkeypatch):
+    rng = np.random.default_rng(12)
+    words = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    a = np.tile(words[:40], 12)
+    a[::37] = words[41 : 41 + a[::37].size]
+    b = np.concatenate((np.tile(words[:40], 8), words[60:120], a[100:300]))
+    plain = lambda p, q: len(set(p) & set(q)) / len(set(p) | set(q))
+    for start in (0, 70):
+        end = np.arange(start + 20, start + 200, 7)
+        low, high = np.maximum(0, 200 - np.arange(end.size) * 5), 210 + np.arange(end.size) * 3
+        number = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
+        got = windows._shares(number[: a.size], number[a.size :], number.max() + 1, start, end, low, high)
+        assert got.tolist() == [plain(a[start:e].tolist(), b[x:y].tolist()) for e, x, y in zip(end, low, high)]
+    compared, whole = [], windows._shares
+    monkeypatch.setattr(windows, "_shares", lambda *x: compared.append(1) or whole(*x))
+    found = windows.similar_passages(a, b, 46, 0.8)
+    assert found and len(compared) <= windows._runs(a, b)[0].size
+    for a0, a1, b0, b1, share in found:
+        assert share >= 0.8 and share == plain(a[a0:a1].tolist(), b[b0:b1].tolist())
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(2)
     values = np.concatenate(([0], rng.permutation(1 << 12)[:300] + 1)).astype(np.uint64) << np.uint64(40)
