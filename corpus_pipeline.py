@@ -11,6 +11,9 @@ from sitegrain.llm.common import bounded_batches, read
 from sitegrain.llm.queries import TOKENIZER
 from sitegrain.runtime import new_folder
 
+#: Strings that a worker of the packing stage remembers: it keeps them while it runs the tasks of other stages.
+REMEMBERED = 100_000
+
 #: No SQL: stages 1, 3, 4 and 5 rest on estimates, fingerprints, seeds and token ids that SQL cannot express.
 ORACLE_SQL = None
 
@@ -38,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequence and offset."""
-    return packing.pack(packing.pieces_of(docs, public_tokenizers.path(TOKENIZER)))
+    return packing.pack(packing.pieces_of(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED))
 
 
 STAGES = [

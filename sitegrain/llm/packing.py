@@ -65,9 +65,10 @@ class WordEncoder:
     #: Letters below U+0500 (Latin, Greek, Cyrillic) without the one whose lower case holds a combining mark.
     _PLAIN = re.compile(r"(?:(?![\u0130\d_])[A-Za-z\u00c0-\u02af\u0370-\u04ff])+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         mark = self._plain(self._MARK)
         self.mark = mark[0] if len(mark) == 1 else None
@@ -95,9 +96,15 @@ class WordEncoder:
         kept = [w for w, a in zip(self.codes, again.tolist()) if a]
         ids, sizes = self._gather(np.flatnonzero(again))
         self.clear()
-        if len(kept) <= REMEMBERED // 2 and sum(map(len, kept)) <= REMEMBERED_BYTES // 2:
+        strings, size = self._limits()
+        if len(kept) <= strings // 2 and sum(map(len, kept)) <= size // 2:
             self._add(kept, ids, sizes)
 
+    def _limits(self) -> tuple[int, int]:
+        """Strings, and bytes of them, that may be held; fewer strings, fewer bytes."""
+        strings = self.remembered or REMEMBERED
+        return strings, REMEMBERED_BYTES * strings // REMEMBERED
+
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -166,7 +173,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.codes) > REMEMBERED or self.held > REMEMBERED_BYTES:
+        strings, size = self._limits()
+        if len(self.codes) > strings or self.held > size:
             self.forget()
         split = [t.split() for t in texts]
         words = list(chain.from_iterable(split))
@@ -184,26 +192,31 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(borders[:-1], borders[1:])]
 
 
-def _encoder(path: str) -> WordEncoder:
-    """The worker's encoder, kept from one task to the next."""
+def _encoder(path: str, remembered: int | None = None) -> WordEncoder:
+    """The worker's encoder, kept from one task to the next, with the bound of the task at hand."""
     import tokenizers
 
     known = tokenizers.__dict__.setdefault("_sitegrain_encoders", {})
     if path not in known:
         known[path] = WordEncoder(path)
+    known[path].remembered = remembered
     return known[path]
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, closing: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): one row per piece of at most ``length`` ids."""
+def pieces_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, closing: int = 0, remembered: int | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): one row per piece of at most ``length`` ids.
+
+    ``remembered`` bounds the strings that a worker remembers (``REMEMBERED``), and with them its memory, not the result.
+    """
     kind = docs.select(F.col(f"`{doc_id}`").alias("doc_id")).schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, remembered)
+        step_bytes = max(1, STEP_BYTES * (remembered or REMEMBERED) // REMEMBERED)
         for b in batches:
             texts = [t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()]
-            steps = np.cumsum([len(t) for t in texts]) // STEP_BYTES
+            steps = np.cumsum([len(t) for t in texts]) // step_bytes
             steps = [0, *(np.flatnonzero(np.diff(steps)) + 1).tolist(), len(texts)] if texts else [0]
             rows, piece, start, size, crc = [], [], [], [], []
             encoded = chain.from_iterable(encoder.encode(texts[x:y]) for x, y in zip(steps, steps[1:]))
