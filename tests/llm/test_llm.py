@@ -199,6 +199,20 @@ def test_words_that_came_again_are_kept_when_too_many_are_remembered(monkeypatch
     assert list(encoder.codes) == [b""]
 
 
+def test_packing_remembers_as_many_words_as_it_is_told(spark):
+    """A bound lower than that of the module holds fewer words and gives the same ids; the pipeline's stage has one."""
+    path, rng = public_tokenizers.path(TOKENIZER), random.Random(9)
+    few, many = packing.WordEncoder(path, 200), packing.WordEncoder(path)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(8)) for _ in range(40)) for _ in range(60)]
+    for t in texts:
+        assert [g.tolist() for g in few.encode([t.encode()])] == [g.tolist() for g in many.encode([t.encode()])]
+        assert len(few.codes) <= 250
+    assert len(many.codes) > 2_000
+    assert corpus_pipeline.REMEMBERED <= packing.REMEMBERED // 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert packing.pieces_of(docs, path, remembered=200).collect() == packing.pieces_of(docs, path).collect()
+
+
 def test_simhash_components(docs, texts):
     want = {}
     for i, t in texts.items():
@@ -422,6 +436,47 @@ def test_one_class_for_a_passage_in_many_texts(spark):
     assert {r.class_id for r in found} == {0} and len(found) < 300
 
 
+def _made_between(spark, monkeypatch, rows):
+    """The rows found, and the numbers of pairs compared and of shingles looked at near the signatures of larger groups."""
+    made = []
+    whole = windows.written
+    monkeypatch.setattr(windows, "written", lambda df: made.append((df.columns, out := whole(df))) or out)
+    found = windows.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs, near = (sum(df.count() for names, df in made if names == kind) for kind in (["ta", "tb"], ["k", "ta", "root", "s"]))
+    return found, pairs, near
+
+
+def test_a_short_common_line_in_many_texts_makes_no_rows(spark, monkeypatch):
+    """A line shorter than a run in unlike texts: none are compared beyond the leader, and no shingles are listed near it."""
+    rows = _between(random.Random(7), [[f"c{i}" for i in range(20)]] * 80)
+    found, pairs, near = _made_between(spark, monkeypatch, rows)
+    assert not found and pairs <= 400 and near == 0
+
+
+def test_near_copies_unlike_their_leader_are_not_paired_each_with_each(spark, monkeypatch):
+    """Many variants of one text, some far from each other: the classes of all pairs, by far fewer comparisons."""
+    rng = random.Random(11)
+    base, n = [f"b{i}" for i in range(200)], 90
+    passages = []
+    for _ in range(n):
+        own = list(base)
+        for p in rng.sample(range(200), 6):
+            own[p] = f"x{rng.randrange(10**9)}"
+        passages.append(own)
+    rows = _between(rng, passages)
+    grams = [windows._text_shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)], np.int64))[0] for _, t in rows]
+    least = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if least[i] != least[j] and windows.similar_passages(grams[i], grams[j], 46, 0.8):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    found, pairs, _ = _made_between(spark, monkeypatch, rows)
+    got = {x: r.class_id for r in found for x in (r.doc_id, r.partner_id)}
+    assert all(got.get(i, i) == c for i, c in enumerate(least))
+    assert max(collections.Counter(least).values()) > n // 2 and pairs < n * n / 4, pairs
+
+
 def test_similar_passages_of_moved_blocks_and_longer_insertions():
     rng = np.random.default_rng(4)
     words = rng.integers(1, 1 << 60, 100)
