@@ -477,6 +477,39 @@ def test_near_copies_unlike_their_leader_are_not_paired_each_with_each(spark, mo
     assert max(collections.Counter(least).values()) > n // 2 and pairs < n * n / 4, pairs
 
 
+def test_further_links_join_the_classes_found_before(spark, monkeypatch):
+    """After the first classes only the classes that further links connect are looked at, not all links again."""
+    seen, whole = [], windows.components
+    monkeypatch.setattr(windows, "components", lambda links: seen.append(links.count()) or whole(links))
+    rng = random.Random(11)
+    base, passages = [f"b{i}" for i in range(200)], []
+    for _ in range(90):
+        own = list(base)
+        for p in rng.sample(range(200), 10):
+            own[p] = f"x{rng.randrange(10**9)}"
+        passages.append(own)
+    found = windows.near_duplicate_passages(spark.createDataFrame(_between(rng, passages), "doc_id long, text string")).collect()
+    links = spark.createDataFrame([(r.doc_id, r.partner_id) for r in found], "a long, b long")
+    want = {r.node: r.root for r in whole(links).collect()}
+    assert {x: r.class_id for r in found for x in (r.doc_id, r.partner_id)} == want
+    assert len(seen) > 1 and sum(seen) == len(found), (seen, len(found))
+
+
+def test_pairs_compared_at_once_give_the_passages_of_each():
+    rng = np.random.default_rng(8)
+    words = rng.integers(1, 1 << 60, 300).astype(np.uint64)
+    edited = words.copy()
+    edited[120:125] = rng.integers(1, 1 << 60, 5).astype(np.uint64)
+    none = words[:0]
+    repeated = np.concatenate((np.tile(words[:30], 9), words[100:200]))
+    pairs = [(words, edited), (words, none), (none, words), (repeated, words), (repeated, repeated[7:]), (words, words[::-1].copy()), (edited, words[50:140])]
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    cuts = [np.append(0, np.cumsum([p[i].size for p in pairs])) for i in (0, 1)]
+    got = list(windows.similar_passages_of(a, b, *cuts, 46, 0.8))
+    assert got == [(p, *f) for p, (x, y) in enumerate(pairs) for f in windows.similar_passages(x, y, 46, 0.8)]
+    assert (0, 0, 300, 0, 300) in {f[:5] for f in got} and {f[0] for f in got} == {0, 3, 4, 6}
+
+
 def test_similar_passages_of_moved_blocks_and_longer_insertions():
     rng = np.random.default_rng(4)
     words = rng.integers(1, 1 << 60, 100)
