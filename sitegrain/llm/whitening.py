@@ -12,7 +12,9 @@ matrices with one row per dimension:
 * The corrections widen the subspace, which is cut back to the best Ritz vectors when it is full.
 
 Entries are integers (``floor(1024 * c) + 100000``), sums per dimension are exact, and a centred
-entry is ``(n * x - S) / n`` with one rounding, so no digits cancel.
+entry is ``(n * x - S) / n`` with one rounding, so no digits cancel. ``deviation``, a sum of squares of
+``n * x - S``, grows with the square of the number of rows and is exact: a long, or ``decimal(38,0)`` for
+a table of which some deviation does not fit into a long.
 
 Nulls: vectors that are null, empty, or hold null or non-finite entries are dropped, as are those
 shorter than the longest vector, which have no place in its covariance; a null id is carried. Repeated
@@ -46,6 +48,7 @@ INNER_STEPS = 8
 #: A residual below so many units of rounding of the largest eigenvalue counts as zero.
 ROUNDING_UNITS = 16
 MAX_OUTER = 200
+_HALF, _LIMB = np.uint64(32), np.uint64((1 << 32) - 1)
 
 Product = Callable[[np.ndarray], np.ndarray]
 
@@ -186,6 +189,11 @@ class Covariance:
             lambda r: np.frombuffer(r.block, float).reshape(-1, dims)
         ).persist(StorageLevel.MEMORY_AND_DISK)
 
+    def reduced(self, own: Callable[[Iterator[np.ndarray]], Iterator], merge: Callable):
+        # As many levels as keep the shares that meet in one place, the driver included, below the fan-in.
+        depth = max(1, math.ceil(math.log(self.parts, FAN_IN)))
+        return self.blocks.mapPartitions(own).treeReduce(merge, depth=depth)
+
     def sum(self, share: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
         def added(own: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
             out = np.zeros(shape)
@@ -193,15 +201,23 @@ class Covariance:
                 out += share(block)
             yield out
 
-        # As many levels as keep the shares that meet in one place, the driver included, below the fan-in.
-        depth = max(1, math.ceil(math.log(self.parts, FAN_IN)))
-        return self.blocks.mapPartitions(added).treeReduce(np.add, depth=depth)
+        return self.reduced(added, np.add)
 
     def product(self, columns: np.ndarray) -> np.ndarray:
         return self.sum(lambda c: c.T @ (c @ columns), columns.shape) / self.n
 
-    def trace(self) -> float:
-        return float(self.sum(lambda c: np.einsum("ij,ij->", c, c).reshape(1), (1,))[0]) / self.n
+    def spread(self) -> tuple[float, float]:
+        """The trace, and the largest square of a vector's distance from the mean."""
+
+        def squares(own: Iterator[np.ndarray]) -> Iterator[tuple[float, float]]:
+            total = most = 0.0
+            for c in own:
+                each = np.einsum("ij,ij->i", c, c)
+                total, most = total + float(each.sum()), max(most, float(each.max(initial=0.0)))
+            yield total, most
+
+        total, most = self.reduced(squares, lambda a, b: (a[0] + b[0], max(a[1], b[1])))
+        return total / self.n, most
 
     def close(self) -> None:
         self.blocks.unpersist()
@@ -213,12 +229,30 @@ def _entries(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[np.ndarra
             yield b.column(name).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
 
 
-def _squares(x: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
-    """Sum over the dimensions of ``(n*x - S)^2``, exact; a value beyond a long is an error."""
+def _deviation_type(largest: float) -> str:
+    """The type that holds deviations up to about ``largest``."""
+    if largest >= 1e38 * (1 - 1e-9):
+        raise OverflowError("a deviation does not fit into 38 digits")
+    return "long" if largest < 2.0**63 * (1 - 1e-9) else "decimal(38,0)"
+
+
+def _squares(x: np.ndarray, total: np.ndarray, n: int, kind: str) -> pa.Array:
+    """Sum over the dimensions of ``(n*x - S)^2``, exact; decimals are added up in limbs of 32 bits."""
+    # The difference fits into a long, so it is right even where ``n * x`` wraps around.
     away = n * x - total
-    if float(np.abs(away).max(initial=0)) ** 2 * x.shape[1] >= 2.0**63:
-        raise OverflowError("a deviation does not fit into a long")
-    return np.einsum("ij,ij->i", away, away)
+    if kind == "long":
+        return pa.array(np.einsum("ij,ij->i", away, away))
+    size = np.abs(away).astype(np.uint64)
+    high, low = size >> _HALF, size & _LIMB
+    limbs = np.zeros((4, len(x)), np.uint64)
+    for i, product, times in ((0, low * low, 1), (1, high * low, 2), (2, high * high, 1)):
+        limbs[i] += (product & _LIMB).sum(axis=1) * np.uint64(times)
+        limbs[i + 1] += (product >> _HALF).sum(axis=1) * np.uint64(times)
+    for i in range(3):
+        limbs[i + 1] += limbs[i] >> _HALF
+        limbs[i] &= _LIMB
+    words = np.column_stack((limbs[0] | limbs[1] << _HALF, limbs[2] | limbs[3] << _HALF))
+    return pa.Decimal128Array.from_buffers(pa.decimal128(38, 0), len(x), [None, pa.py_buffer(words.tobytes())])
 
 
 def whiten(table: DataFrame, vec_id: str, vector: str, components: int = 8) -> DataFrame:
@@ -227,16 +261,20 @@ def whiten(table: DataFrame, vec_id: str, vector: str, components: int = 8) -> D
     integer = F.transform("vector", lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("long") + SHIFT)
     kept = written(own.select("vec_id", integer.alias("x")))
     kind = kept.schema["vec_id"].dataType.simpleString()
-    schema = f"vec_id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    schema = f"vec_id {kind}, component int, n long, deviation {{}}, whitened double, explained double, identity_error double"
     dims = kept.agg(F.max(F.size("x"))).first()[0]
     if dims is None:
-        return kept.sparkSession.createDataFrame([], schema)
+        return kept.sparkSession.createDataFrame([], schema.format("long"))
     full = kept.filter(F.size("x") == dims)
-    per_dim = full.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    sums = [F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
+    per_dim = full.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(*sums).collect()
     n, total = per_dim[0].n, np.array([r.s for r in sorted(per_dim)], np.int64)
+    if max(max(n * r.high - r.s, r.s - n * r.low) for r in per_dim) >= 1 << 63:
+        raise OverflowError("an entry is too far from its mean for a long")
     cov = Covariance(full, total, n)
     values, vectors = leading_pairs(cov.product, dims, components)
-    trace = cov.trace()
+    trace, farthest = cov.spread()
+    squares = _deviation_type(farthest * n * n)
     real = values > dims * np.finfo(float).eps * values[0]
     scaled = vectors / np.sqrt(np.where(real, values, 1.0))
 
@@ -260,8 +298,8 @@ def whiten(table: DataFrame, vec_id: str, vector: str, components: int = 8) -> D
             m = b.num_rows
             yield pa.RecordBatch.from_arrays([
                 b.column("vec_id").take(pa.array(np.repeat(np.arange(m), k))), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)),
-                pa.array(np.full(m * k, n, np.int64)), pa.array(np.repeat(_squares(x, total, n), k)),
+                pa.array(np.full(m * k, n, np.int64)), _squares(x, total, n, squares).take(pa.array(np.repeat(np.arange(m), k))),
                 pa.array(w.ravel(), mask=np.tile(~real, m)), pa.array(np.tile(np.where(real, explained, 0.0), m)), pa.array(np.full(m * k, error)),
             ], names=names)
 
-    return full.mapInArrow(rows, schema)
+    return full.mapInArrow(rows, schema.format(squares))

@@ -3,6 +3,7 @@
 import bisect
 import collections
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -244,3 +245,33 @@ def test_whitening_of_awkward_and_empty_tables(spark):
     assert whitening.whiten(spark.createDataFrame(bad[:5], kind), "vec_id", "vector").collect() == []
     with_more = whitening.whiten(spark.createDataFrame(rows, kind).withColumn("vec", F.lit(1)), "vec_id", "vector")
     assert with_more.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+
+
+@pytest.mark.parametrize("scale, kind", [(1.0, "bigint"), (3e6, "decimal(38,0)"), (2.0**41, "decimal(38,0)")])
+def test_deviations_beyond_a_long_are_exact(spark, scale, kind):
+    """Far entries stand for many rows: the squares of both are as large as those of millions of vectors."""
+    vectors = [[scale * v for v in row] for row in np.random.default_rng(2).standard_normal((30, 5)).tolist()]
+    vectors[3] = [0.0] * 5
+    got = whitening.whiten(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, vector array<double>"), "vec_id", "vector")
+    assert dict(got.dtypes)["deviation"] == kind
+    x = [[math.floor(1024 * v) + 100_000 for v in row] for row in vectors]
+    total = [sum(c) for c in zip(*x)]
+    want = {i: sum((len(x) * v - s) ** 2 for v, s in zip(row, total)) for i, row in enumerate(x)}
+    rows = got.collect()
+    assert len(rows) == 150 and all(int(r.deviation) == want[r.vec_id] for r in rows) and max(r.identity_error for r in rows) < 1e-9
+    assert (max(want.values()) >= 2**63) == (kind != "bigint")
+
+
+def test_entries_too_far_from_their_mean_are_an_error(spark):
+    table = spark.createDataFrame([(i, [2.0**50 * (i == 0), 1.0]) for i in range(20)], "vec_id long, vector array<double>")
+    with pytest.raises(OverflowError):
+        whitening.whiten(table, "vec_id", "vector")
+
+
+def test_a_deviation_takes_a_long_as_long_as_it_fits():
+    assert whitening._deviation_type(9.2e18) == "long" and whitening._deviation_type(9.3e18) == "decimal(38,0)"
+    far = 6 * 10**18 + 1
+    x = np.array([[far, 0], [-far, far]], np.int64)
+    assert [int(v.as_py()) for v in whitening._squares(x, np.zeros(2, np.int64), 1, "decimal(38,0)")] == [far**2, 2 * far**2]
+    with pytest.raises(OverflowError):
+        whitening._deviation_type(1e38)
