@@ -542,6 +542,69 @@ def test_repetitive_pairs_are_not_compared_part_by_part(monkeypatch):
         assert share >= 0.8 and share == plain(a[a0:a1].tolist(), b[b0:b1].tolist())
 
 
+def _all_runs(a, b):
+    """(start in a, start in b, size) of the common runs near a diagonal with a long one, match by match."""
+    runs, same = [], a[:, None] == b[None, :]
+    for d in range(1 - b.size, a.size):
+        x = np.arange(max(0, d), min(a.size, b.size + d))
+        edge = np.diff(np.concatenate(([0], same[x, x - d].astype(int), [0])))
+        runs += [(x[0] + i, x[0] + i - d, j - i) for i, j in zip(np.flatnonzero(edge > 0), np.flatnonzero(edge < 0))]
+    strong = {x - y for x, y, n in runs if n > windows.RUN - windows.SHINGLE}
+    return sorted(r for r in runs if any(x in strong for x in range(r[0] - r[1] - windows.SHIFT, r[0] - r[1] + windows.SHIFT + 1)))
+
+
+@pytest.mark.parametrize("step", [37, windows.STEP_ENDS])
+def test_all_runs_of_repetitive_pairs_are_found(monkeypatch, step):
+    monkeypatch.setattr(windows, "STEP_ENDS", step)
+    rng = np.random.default_rng(14)
+    u = rng.integers(1, 1 << 60, 40).astype(np.uint64)
+    coin = rng.choice(u[:2], 300), rng.choice(u[:2], 280)
+    coin[1][50:90] = coin[0][100:140]
+    lines = [np.tile(u, 60) for _ in range(2)]
+    for v in lines:
+        v[rng.integers(0, v.size, 50)] = rng.integers(1, 1 << 60, 50)
+    pairs = [(np.repeat(u[:4], 50), np.repeat(u[1:6], 60)), (np.tile(u[:2], 100), np.concatenate((u[5:9], np.tile(u[:2], 90), u[:3]))), coin, lines, (u[:30], u)]
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    cuts = [np.append(0, np.cumsum([p[i].size for p in pairs])) for i in (0, 1)]
+    pair, x, y, size, _, _, dense = windows._common_runs(a, b, *cuts)
+    assert dense.tolist() == [True] * 4 + [False]
+    for p, (own, other) in enumerate(pairs):
+        assert sorted(zip(x[pair == p], y[pair == p], size[pair == p])) == _all_runs(own, other)
+
+
+def test_passages_at_all_places_of_repetitive_pairs():
+    """Each of many near copies in one text meets each of those in the other, not only the first and the last."""
+    rng = np.random.default_rng(21)
+    unit, n = rng.integers(1, 1 << 60, 60), 60
+    texts = []
+    for _ in range(2):
+        parts = []
+        for _ in range(n):
+            own = unit.copy()
+            own[rng.integers(10, 50)] = rng.integers(1, 1 << 60)
+            parts += [own, rng.integers(1, 1 << 60, 10)]
+        texts.append(np.concatenate(parts).astype(np.uint64))
+    a, b = texts
+    assert windows._common_runs(a, b, np.array([0, a.size]), np.array([0, b.size]))[6].all()
+    found = windows.similar_passages(a, b, 46, 0.8)
+    plain = lambda p, q: len(set(p) & set(q)) / len(set(p) | set(q))
+    met = np.zeros((n, n), dtype=bool)
+    for a0, a1, b0, b1, share in found:
+        assert share == plain(a[a0:a1].tolist(), b[b0:b1].tolist()) >= 0.8
+        i, j = ([k for k in range(v0 // 70, v1 // 70 + 1) if min(v1, 70 * k + 60) - max(v0, 70 * k) >= 40] for v0, v1 in ((a0, a1), (b0, b1)))
+        met[np.ix_(i, j)] = True
+    assert met.all()
+
+
+def test_texts_that_share_a_repeated_word_are_linked(spark):
+    rows = [(i, f"{w} " * n) for i, (w, n) in enumerate([("la", 700), ("la", 650), ("la", 80), ("le li", 400), ("le li", 390), ("lo", 30)])]
+    rows.append((6, "a text of its own that has one word many times " + "la " * 60 + "and ends so"))
+    found = windows.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x, r.class_id) for r in found for x in (r.doc_id, r.partner_id)} == {(0, 0), (1, 0), (2, 0), (6, 0), (3, 3), (4, 3)}
+    whole = {tuple(sorted((r.doc_id, r.partner_id))): {r.words, r.partner_words} for r in found}
+    assert whole[(0, 1)] == {700, 650} and whole[(3, 4)] == {800, 780}
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(2)
     values = np.concatenate(([0], rng.permutation(1 << 12)[:300] + 1)).astype(np.uint64) << np.uint64(40)
